@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, quality, warc
+from . import bpe, exact, mixing, neardup, quality, templates, toxicity, warc
 from .common import default_partitions, shared_folder, tune, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.grade(docs, toxicity.train(docs, labels))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = exact.DigestIndex(spark, shared_folder(spark, "digest-index"), default_partitions(spark))
@@ -45,6 +50,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Plan(words=3, percent=85))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -58,7 +73,17 @@ def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_quality_rules, op5_exact_dedup, op9_mix_sources, op10_warc_packages)
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_quality_rules,
+        op4_toxicity,
+        op5_exact_dedup,
+        op6_line_templates,
+        op7_minhash_near_dedup,
+        op9_mix_sources,
+        op10_warc_packages,
+    )
 }
 
 ORACLES: dict[str, str] = {}
