@@ -82,10 +82,11 @@ def apportion(rows: DataFrame, group: list[str], key: str, weight: str, seats: s
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: int = 3, shard_docs: int = 4096, seed: int = 17) -> DataFrame:
-    """For each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+    """For each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, times, ranges, text_hash.
 
     Sources are weighted by `cycle`, repeated over their names by code point, the null source last. size is the number of
-    words; taken is how many of them the mix has, repeats counted, at most cap * size. Empty and null texts have size 0
+    words; taken is how many of them the mix has, repeats counted, at most cap * size: all words `times` times, and those of
+    `ranges` (begin, n) once more. Empty and null texts have size 0
     and nothing taken; repeated rows are documents of their own; an empty table gives an empty result. Blocks have one
     65,536th of all words, 1 at least and 1,024 at most. Other columns of docs are not read. The same rows give the same
     mix, in any order and partitioning: rows are told apart by id, size and text hash.
@@ -162,12 +163,30 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: int = 3, shard
         .join(shards.select("rank", "shard", "extra"), ["rank", "shard"])
         .where(F.col("drawn") <= F.col("extra")).select("rank", "shard", "k")
     )
-    once = touched.join(chosen, ["rank", "shard", "k"]).groupBy("rank", "shard", "place").agg(F.sum("words").alias("once"))
+    range_ = F.struct((F.col("begins") - F.col("start")).alias("begin"), F.col("words").alias("n"))
+    once = touched.join(chosen, ["rank", "shard", "k"]).groupBy("rank", "shard", "place").agg(
+        F.sum("words").alias("once"), F.sort_array(F.collect_list(range_)).alias("ranges")
+    )
     return (
         laid.join(shards.select("rank", "shard", "times"), ["rank", "shard"])
         .join(once, ["rank", "shard", "place"], "left")
         .select(
             "doc_id", "source", "size", "source_size", "target",
             (F.col("size") * F.col("times") + F.coalesce("once", F.lit(0))).cast("long").alias("taken"),
+            F.when(F.col("size") > 0, F.col("times")).otherwise(0).cast("long").alias("times"), "ranges", "text_hash",
         )
     )
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """What a mix takes, as rows of docs: each document as often as it is taken whole, and once more with the words of the
+    ranges taken beyond that, joined by one space. n_chars is that of the text."""
+    one = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
+    plan = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash2"), "times", "ranges")
+    found = one.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")))
+    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"), 1)
+    part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("_words"), (r.begin + 1).cast("int"), r.n.cast("int")))), " ")
+    parts = found.where("ranges IS NOT NULL").withColumn("_words", words).withColumn("text", part)
+    whole = found.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    both = whole.select(*docs.columns).unionByName(parts.select(*docs.columns))
+    return both.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else both

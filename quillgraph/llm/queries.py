@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, neardup, phrases, quality, templates, toxicity, warc
+from . import bpe, exact, idfiles, mixing, neardup, phrases, quality, templates, toxicity, warc
 from .common import default_partitions, shared_folder, tune, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,8 +66,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Plan(words=3, percent=85))
 
 
+CODING = idfiles.Coding(public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+
+
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = written(idfiles.write_files(docs, shared_folder(spark, "ids"), CODING), "id-list")
+    return idfiles.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("times", "ranges", "text_hash")
 
 
 def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op6_line_templates,
         op7_minhash_near_dedup,
+        op8_id_files,
         op9_mix_sources,
         op10_warc_packages,
     )
