@@ -55,25 +55,29 @@ def parsed_lines(docs: DataFrame, tree: Tree) -> DataFrame:
 
 
 def _documents(forms: DataFrame, key: list[str]) -> DataFrame:
-    """Documents of each key, each counted once, and the smallest id. Counted before the shuffles: a key that a third of
+    """Documents of each key, each counted once, the smallest id, and one place where the key stands. Counted before the shuffles: a key that a third of
     the documents have is one row from each task."""
-    once = forms.groupBy(*key, "row_id").agg(F.min("doc_id").alias("doc_id"))
-    return once.groupBy(*key).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    once = forms.groupBy(*key, "row_id").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
+    return once.groupBy(*key).agg(
+        F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.min(F.struct("row_id", "line_no")).alias("at")
+    )
+
 
+def recurring(lines: DataFrame, texts: DataFrame, tree: Tree) -> DataFrame:
+    """(template, first_doc) of the lines' recurring templates; template as it was before its leaf made fields of positions.
 
-def recurring(lines: DataFrame, tree: Tree) -> DataFrame:
-    """(template, first_doc) of the lines' recurring templates; template as it was before its leaf made fields of positions."""
+    lines has no text; where a leaf may have fields, the text of one line of each template is looked up in texts, by its place.
+    """
     counted = written(_documents(lines, ["leaf", "template"]), "line-templates")
     # Leaves with so many templates that a position may have become a field; only for these the tokens are looked at.
     mixed = counted.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("docs")).where(
         (F.col("n") > tree.max_children) & (F.col("docs") >= tree.min_docs)
     )
+    places = counted.join(mixed.select("leaf"), "leaf", "left_semi").select("at.row_id", "at.line_no")
     forms = written(
-        lines.join(mixed.select("leaf"), "leaf", "left_semi").groupBy("leaf", "template").agg(
-            F.min("masked").alias("masked"), F.min("n_tokens").alias("n_tokens")
-        ),
-        "line-forms",
-    )
+        parsed_lines(texts, tree).join(places, ["row_id", "line_no"], "left_semi")
+        .select("leaf", "template", "masked", "n_tokens").dropDuplicates(["template"]), "line-forms",
+    )
     tokens = forms.select("leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token")).where(F.col("pos") >= tree.depth)
     fields = (
         tokens.distinct().groupBy("leaf", "pos").agg(F.count("*").alias("n")).where(F.col("n") > tree.max_children)
@@ -87,7 +91,7 @@ def recurring(lines: DataFrame, tree: Tree) -> DataFrame:
     ).select("template", _two_hashes(F.col("n_tokens"), shape).alias("general"))
     general = written(general, "line-general")
 
-    of_forms = lines.select("template", "row_id", "doc_id").join(general, "template")
+    of_forms = lines.select("template", "row_id", "doc_id", "line_no").join(general, "template")
     joint = _documents(of_forms, ["general"]).where(F.col("n_docs") >= tree.min_docs)
     alone = counted.where(F.col("n_docs") >= tree.min_docs).join(general.select("template"), "template", "left_anti")
     return general.join(joint, "general").select("template", "first_doc").unionByName(alone.select("template", "first_doc"))
@@ -108,9 +112,9 @@ def drop_recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:  #
         F.xxhash64("doc_id", "text").alias("row_id"),
         F.split("text", "\n", -1).alias("lines"),
     )
-    lines = written(parsed_lines(split, tree), "lines")
+    lines = written(parsed_lines(split, tree).drop("masked", "n_tokens"), "lines")
     drops = (
-        lines.select("row_id", "doc_id", "line_no", "template").join(recurring(lines, tree), "template")
+        lines.select("row_id", "doc_id", "line_no", "template").join(recurring(lines, split, tree), "template")
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy("row_id").agg(F.collect_set("line_no").alias("drops"))
     )
