@@ -17,7 +17,7 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def node_table(df: DataFrame, label: str, key: str | Column = "id", offset: int = 0, **props: str | Column) -> DataFrame:
+def node_table(df: DataFrame, label: str, key: str | Column = "id", offset: int = 0, /, **props: str | Column) -> DataFrame:
     """id, labels and properties of a table; without props all other columns are properties."""
     key_column = F.col(key) if isinstance(key, str) else key
     named = props or {c: c for c in df.columns if c not in (key, "id", "labels")}

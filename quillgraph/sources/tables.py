@@ -26,7 +26,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     Ids of edges are those of their own row where it has a key; order lines have none, so theirs is a hash of all they hold.
     """
     t = {n: read(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
-    node = lambda label, table, key, **props: node_table(t[table], label, node_id(label, key), **props)
+    node = lambda label, table, id_, /, **props: node_table(t[table], label, node_id(label, id_), **props)
     nodes = {
         "Region": node("Region", "region", "r_regionkey", key=F.col("r_regionkey").cast("long"), name="r_name"),
         "Nation": node("Nation", "nation", "n_nationkey", key=F.col("n_nationkey").cast("long"), name="n_name"),
