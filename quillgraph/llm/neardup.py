@@ -30,6 +30,9 @@ from .common import StableHashes, default_partitions, gram_hashes, mix, multipli
 from .components import connected_components
 
 VALUES, BITS = 64, 16
+#: Further values, of 8 bits, that are only compared: all VALUES + MORE of them tell a pair's similarity apart more sharply.
+MORE = 192
+WIDTH = 2 * VALUES + MORE
 BLOCK = 512
 #: Pairs that a member may offer to each other component in the first round; in the second all of them.
 OFFERS = (2,)
@@ -43,21 +46,30 @@ class Plan:
     percent: int = 80
     miss: float = 1e-6
 
-    @property
-    def distance(self) -> int:
-        """The least D with P(more than D of VALUES values differ) <= miss at the least similarity."""
+    def _most(self, values: int) -> int:
+        """The least D with P(more than D of so many values differ) <= miss at the least similarity."""
         p, tail, d = 1 - self.percent / 100, 1.0, -1
         while tail > self.miss:
             d += 1
-            tail -= math.comb(VALUES, d) * p**d * (1 - p) ** (VALUES - d)
+            tail -= math.comb(values, d) * p**d * (1 - p) ** (values - d)
         return d
 
+    @property
+    def distance(self) -> int:
+        """D for the indexed values."""
+        return self._most(VALUES)
+
+    @property
+    def total_distance(self) -> int:
+        """D for all values."""
+        return self._most(VALUES + MORE)
+
     @property
     def chunks(self) -> list[np.ndarray]:
         return np.array_split(np.arange(VALUES), self.distance // 2 + 1)
 
 
-_XOR, _MUL = multipliers(VALUES, 101), multipliers(VALUES, 102)
+_XOR, _MUL = multipliers(VALUES + MORE, 101), multipliers(VALUES + MORE, 102)
 
 
 def shingle_set(text: str, k: int, hashes: StableHashes) -> np.ndarray:
@@ -67,11 +79,19 @@ def shingle_set(text: str, k: int, hashes: StableHashes) -> np.ndarray:
     return np.unique(gram_hashes(hashes.of(words), min(k, n))) if n else np.zeros(0, np.uint64)
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 4096):  # long texts in slices, so the matrix stays small
-        least = np.minimum(least, ((grams[None, at : at + 4096] ^ _XOR[:, None]) * _MUL[:, None]).min(1))
-    return (mix(least) & np.uint64((1 << BITS) - 1)).astype("<u2")
+def signature(grams: np.ndarray) -> bytes:
+    """VALUES values of 16 bits, then MORE values of 8 bits."""
+    least = np.full(VALUES + MORE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 512):  # in slices, so that the matrix stays small
+        least = np.minimum(least, ((grams[None, at : at + 512] ^ _XOR[:, None]) * _MUL[:, None]).min(1))
+    values = mix(least)
+    return (values[:VALUES] & np.uint64(0xFFFF)).astype("<u2").tobytes() + (values[VALUES:] & np.uint64(0xFF)).astype("u1").tobytes()
+
+
+def values_of(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(indexed values, further values) of signatures, one a row."""
+    raw = np.frombuffer(b"".join(signatures), "u1").reshape(-1, WIDTH)
+    return np.ascontiguousarray(raw[:, : 2 * VALUES]).view("<u2"), raw[:, 2 * VALUES :]
 
 
 PROFILE = T.StructType([
@@ -92,7 +112,7 @@ def profiles(text: Column, k: int) -> Column:
                 rows.append({
                     "n_shingles": len(grams),
                     "set_key": xxhash.xxh3_128_digest(grams.tobytes()) if own else None,
-                    "signature": signature(grams).tobytes() if own else None,
+                    "signature": signature(grams) if own else None,
                 })
             yield pa.array(rows, _PROFILE_ARROW)
 
@@ -110,7 +130,7 @@ def full_sets(text: Column, k: int) -> Column:
 
 
 def chunk_keys(signature_: Column, plan: Plan) -> Column:
-    """All keys of a signature: each chunk with each of its values left out."""
+    """All keys of a signature: for each value, in order, a key of the rest of its chunk."""
     chunks = plan.chunks
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -118,7 +138,7 @@ def chunk_keys(signature_: Column, plan: Plan) -> Column:
         weights, tags = multipliers(VALUES, 103), multipliers(VALUES, 104)
         for batch in batches:
             rows = batch.to_pylist()
-            table = np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), VALUES).astype(np.uint64)
+            table = values_of(rows)[0].astype(np.uint64)
             terms = mix(table + np.arange(VALUES, dtype=np.uint64) * np.uint64(1 << 20)) * weights
             out = np.empty((len(rows), VALUES), np.int64)
             for chunk in chunks:
@@ -131,15 +151,17 @@ def chunk_keys(signature_: Column, plan: Plan) -> Column:
     return keys(signature_)
 
 
-def differing_values(a: Column, b: Column) -> Column:
-    @F.arrow_udf(T.IntegerType())
-    def differ(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def close_signatures(a: Column, b: Column, plan: Plan) -> Column:
+    """Whether two signatures are within both distances."""
+
+    @F.arrow_udf(T.BooleanType())
+    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            x = np.frombuffer(b"".join(left.to_pylist()), "<u2").reshape(-1, VALUES)
-            y = np.frombuffer(b"".join(right.to_pylist()), "<u2").reshape(-1, VALUES)
-            yield pa.array((x != y).sum(1).astype(np.int32), pa.int32())
+            (x, x2), (y, y2) = values_of(left.to_pylist()), values_of(right.to_pylist())
+            near, more = (x != y).sum(1), (x2 != y2).sum(1)
+            yield pa.array((near <= plan.distance) & (near + more <= plan.total_distance), pa.bool_())
 
-    return differ(a, b)
+    return close(a, b)
 
 
 def common_members(a: Column, b: Column) -> Column:
@@ -161,7 +183,7 @@ def within_distance(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFra
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     fitting = joined.where(100 * F.least("n_a", "n_b") >= plan.percent * F.greatest("n_a", "n_b"))
-    return fitting.where(differing_values(F.col("s_a"), F.col("s_b")) <= plan.distance).select("a", "b")
+    return fitting.where(close_signatures(F.col("s_a"), F.col("s_b"), plan)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
@@ -198,12 +220,23 @@ def pairs_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, plan:
         placed.join(apart, "key")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .join(classes.select("node", "signature"), "node")
-        .select("key", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "node", "component", "signature")
-    )
+        .join(classes.select("node", F.col("n").alias("size"), "signature"), "node")
+        .select(
+            "key", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
+            "block", "place", "node", "size", "component", "signature",
+        )
+    )
     parts = default_partitions(members.sparkSession)
     dealt = units.repartition(parts, "key", "u", "v").sortWithinPartitions("key", "u", "v")
-    limit = plan.distance
+    near_most, all_most, percent = plan.distance, plan.total_distance, plan.percent
+    chunk_of = np.concatenate([np.full(len(c), i) for i, c in enumerate(plan.chunks)])
+    first_of = [int(c[0]) for c in plan.chunks]
+
+    def first_place(differ: np.ndarray) -> int:
+        """The first value whose key two signatures share."""
+        wrong = np.bincount(chunk_of[differ], minlength=len(first_of))
+        chunk = int(np.argmax(wrong <= 1))
+        return first_of[chunk] if not wrong[chunk] else int(np.flatnonzero(differ & (chunk_of == chunk))[0])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list[dict]) -> list[tuple[int, int]]:
@@ -211,13 +244,28 @@ def pairs_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, plan:
             left = [r for r in rows if r["block"] == u]
             right = left if u == v else [r for r in rows if r["block"] == v]
             found: list[tuple[int, int, int, int, int]] = []
-            table = np.frombuffer(b"".join(r["signature"] for r in right), "<u2").reshape(-1, VALUES)
+            if not left or not right:
+                return []
+            table, more = values_of([r["signature"] for r in right])
             groups = np.array([r["component"] for r in right], np.int64)
+            sizes = np.array([r["size"] for r in right], np.int64)
             for i, r in enumerate(left):
                 from_ = i + 1 if u == v else 0
-                differ = (table[from_:] != np.frombuffer(r["signature"], "<u2")).sum(1)
-                hits = np.flatnonzero((differ <= limit) & (groups[from_:] != r["component"])) + from_
-                found += [(int(differ[j - from_]), r["node"], right[j]["node"], r["component"], right[j]["component"]) for j in hits.tolist()]
+                fit = (groups[from_:] != r["component"]) & (
+                    100 * np.minimum(sizes[from_:], r["size"]) >= percent * np.maximum(sizes[from_:], r["size"])
+                )
+                at = np.flatnonzero(fit) + from_
+                if not len(at):
+                    continue
+                mine, mine2 = values_of([r["signature"]])
+                differ = table[at] != mine
+                near = differ.sum(1)
+                total = near + (more[at] != mine2).sum(1)
+                for k in np.flatnonzero((near <= near_most) & (total <= all_most)).tolist():
+                    # A pair may share many keys; it is made at the first of them only.
+                    if first_place(differ[k]) == r["place"]:
+                        other = right[at[k]]
+                        found.append((int(total[k]), r["node"], other["node"], r["component"], other["component"]))
             if offers is None:
                 return [(min(a, b), max(a, b)) for _, a, b, _, _ in found]
             out, made = set(), {}
@@ -270,20 +318,16 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
         ),
         "classes",
     )
-    keyed = classes.select("node", F.explode(chunk_keys(F.col("signature"), plan)).alias("key"))
+    keyed = classes.select("node", F.posexplode(chunk_keys(F.col("signature"), plan)).alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(keyed.join(shared, "key").select("key", "node", "hub"), "members")
+    members = written(keyed.join(shared, "key").select("key", "place", "node", "hub"), "members")
 
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(written(within_distance(pairs, classes, plan), "pairs"), docs, plan)
     labels = connected_components(links.where("linked"))
     for offers in (*OFFERS, None):
-        apart = pairs_apart(members.select("key", "node"), labels, classes, plan, offers).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        apart = written(
-            apart.join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-            .join(classes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-            .where(100 * F.least("n_a", "n_b") >= plan.percent * F.greatest("n_a", "n_b")).select("a", "b").distinct(), "pairs",
-        )
+        apart = pairs_apart(members.drop("hub"), labels, classes, plan, offers).join(links.select("a", "b"), ["a", "b"], "left_anti")
+        apart = written(apart, "pairs")
         if apart.isEmpty():
             continue
         links = written(links.unionByName(confirmed(apart, docs, plan)), "links")
