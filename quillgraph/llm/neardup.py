@@ -8,9 +8,10 @@
    share a key, whatever they are.
 3. Members of a key are first held against one hub, the smallest id, so a key with n members makes n - 1 pairs. Pairs
    within D and of fitting sizes are confirmed on the full sets, and components are formed.
-4. Where a key still has members of several components, what lies between them is compared in blocks: a few closest
-   pairs first, then, where components remain apart, all pairs within D. So no link is lost, and members of
-   one component are not paired again.
+4. Where a key still has members of several components, these are compared by signature in blocks; of the pairs within D only
+   a forest is kept, which says what belongs to one cluster. The full sets of a cluster are then brought together in
+   blocks, all pairs of different components in them are counted as a product of incidence matrices, and only a forest of
+   the links comes out. So no link is lost, and the rows made stay in proportion to the members, not to their pairs.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ VALUES, BITS = 64, 16
 #: Further values, of 8 bits, that are only compared: all VALUES + MORE of them tell a pair's similarity apart more sharply.
 MORE = 192
 WIDTH = 2 * VALUES + MORE
-BLOCK = 512
-#: Pairs that a member may offer to each other component in the first round; in the second all of them.
-OFFERS = (2,)
+#: Members of a key, and sets of a cluster, that are compared in one task, at most twice as many.
+BLOCK, SETS = 512, 2048
 
 
 @dataclass(frozen=True)
@@ -206,11 +206,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
 UNIT_PAIRS = "a long, b long"
 
 
-def pairs_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, plan: Plan, offers: int | None) -> DataFrame:
-    """Pairs within D that share a key and lie in different components, compared in blocks of keys that have several components.
+class Forest:
+    """Union of what belongs together; add says whether two were apart."""
 
-    Each member offers at most `offers` closest pairs to each other component in a block; None: all of them.
-    """
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (y := self.up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for z in path:
+            self.up[z] = x
+        return x
+
+    def add(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs within D that share a key and lie in different components, compared in blocks of keys that have several
+    components; of each block a forest that connects what its pairs connect."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
@@ -223,27 +243,19 @@ def pairs_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, plan:
         .join(classes.select("node", F.col("n").alias("size"), "signature"), "node")
         .select(
             "key", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
-            "block", "place", "node", "size", "component", "signature",
+            "block", "node", "size", "component", "signature",
         )
     )
     parts = default_partitions(members.sparkSession)
     dealt = units.repartition(parts, "key", "u", "v").sortWithinPartitions("key", "u", "v")
     near_most, all_most, percent = plan.distance, plan.total_distance, plan.percent
-    chunk_of = np.concatenate([np.full(len(c), i) for i, c in enumerate(plan.chunks)])
-    first_of = [int(c[0]) for c in plan.chunks]
-
-    def first_place(differ: np.ndarray) -> int:
-        """The first value whose key two signatures share."""
-        wrong = np.bincount(chunk_of[differ], minlength=len(first_of))
-        chunk = int(np.argmax(wrong <= 1))
-        return first_of[chunk] if not wrong[chunk] else int(np.flatnonzero(differ & (chunk_of == chunk))[0])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list[dict]) -> list[tuple[int, int]]:
             u, v = rows[0]["u"], rows[0]["v"]
             left = [r for r in rows if r["block"] == u]
             right = left if u == v else [r for r in rows if r["block"] == v]
-            found: list[tuple[int, int, int, int, int]] = []
+            found: list[tuple[int, int]] = []
+            forest = Forest()
             if not left or not right:
                 return []
             table, more = values_of([r["signature"] for r in right])
@@ -262,19 +274,10 @@ def pairs_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, plan:
                 near = differ.sum(1)
                 total = near + (more[at] != mine2).sum(1)
                 for k in np.flatnonzero((near <= near_most) & (total <= all_most)).tolist():
-                    # A pair may share many keys; it is made at the first of them only.
-                    if first_place(differ[k]) == r["place"]:
-                        other = right[at[k]]
-                        found.append((int(total[k]), r["node"], other["node"], r["component"], other["component"]))
-            if offers is None:
-                return [(min(a, b), max(a, b)) for _, a, b, _, _ in found]
-            out, made = set(), {}
-            for _, a, b, of_a, of_b in sorted(found):
-                for one, group in ((a, of_b), (b, of_a)):
-                    if made.get((one, group), 0) < offers:
-                        made[one, group] = made.get((one, group), 0) + 1
-                        out.add((min(a, b), max(a, b)))
-            return sorted(out)
+                    other = right[at[k]]["node"]
+                    if forest.add(r["node"], other):
+                        found.append((min(r["node"], other), max(r["node"], other)))
+            return found
 
         rows: list[dict] = []
         unit = None
@@ -293,6 +296,85 @@ def pairs_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, plan:
     return dealt.mapInArrow(compare, UNIT_PAIRS).distinct()
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, as a product of incidence matrices."""
+    of_a, of_b = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(of_a, of_b)
+    sides = []
+    for sets, flat in ((a, of_a), (b, of_b)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        sides.append((row, column, shared[column] == flat if len(shared) else np.zeros(len(flat), bool)))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(shared), 16_384):  # in slices of the shingles, so that the matrices stay small
+        x, y = (np.zeros((len(sets), min(16_384, len(shared) - at)), np.float32) for sets in (a, b))
+        for matrix, (row, column, own) in ((x, sides[0]), (y, sides[1])):
+            use = own & (column >= at) & (column < at + matrix.shape[1])
+            matrix[row[use], column[use] - at] = 1
+        out += x @ y.T
+    return out
+
+
+def links_in_clusters(forest: DataFrame, labels: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): of each block of a cluster a forest of the links between its components, confirmed on the full sets."""
+    spark = docs.sparkSession
+    clusters = connected_components(forest)
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).select(
+        F.col("component").alias("cluster"), F.ceil(F.col("n") / SETS).cast("int").alias("blocks")
+    )
+    placed = clusters.select("node", F.col("component").alias("cluster")).join(sizes, "cluster").join(labels, "node", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
+    sets = written(
+        rows.select("cluster", "blocks", "node", F.coalesce("component", "node").alias("component"), full_sets(F.col("text"), plan.words).alias("members")),
+        "cluster-sets",
+    )
+    units = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).select("cluster", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "node", "component", "members")
+    dealt = units.repartition(default_partitions(spark), "cluster", "u", "v").sortWithinPartitions("cluster", "u", "v")
+    percent = plan.percent
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(rows: list[dict]) -> list[tuple[int, int]]:
+            u, v = rows[0]["u"], rows[0]["v"]
+            left = sorted((r for r in rows if r["block"] == u), key=lambda r: r["node"])
+            right = left if u == v else sorted((r for r in rows if r["block"] == v), key=lambda r: r["node"])
+            forest, out = Forest(), []
+            for r in left + right:
+                forest.add(r["component"], r["node"])
+            for i in range(0, len(left), 256):
+                a = left[i : i + 256]
+                sets_a = [np.frombuffer(r["members"], np.uint64) for r in a]
+                n_a = np.array([len(x) for x in sets_a])
+                for j in range(i if u == v else 0, len(right), 256):
+                    b = right[j : j + 256]
+                    sets_b = [np.frombuffer(r["members"], np.uint64) for r in b]
+                    n_b = np.array([len(x) for x in sets_b])
+                    both = common_counts(sets_a, sets_b).astype(np.int64)
+                    linked = 100 * both >= percent * (n_a[:, None] + n_b[None, :] - both)
+                    linked &= np.array([r["component"] for r in a])[:, None] != np.array([r["component"] for r in b])[None, :]
+                    for x, y in np.argwhere(linked).tolist():
+                        if forest.add(a[x]["node"], b[y]["node"]):
+                            out.append((a[x]["node"], b[y]["node"]))
+            return out
+
+        held: list[dict] = []
+        unit = None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r in batch.to_pylist():
+                if (r["cluster"], r["u"], r["v"]) != unit:
+                    if held:
+                        out += of(held)
+                    held, unit = [], (r["cluster"], r["u"], r["v"])
+                held.append(r)
+            yield _pair_batch(out)
+        if held:
+            yield _pair_batch(of(held))
+
+    return dealt.mapInArrow(confirm, UNIT_PAIRS).distinct()
+
+
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -318,20 +400,17 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
         ),
         "classes",
     )
-    keyed = classes.select("node", F.posexplode(chunk_keys(F.col("signature"), plan)).alias("place", "key"))
+    keyed = classes.select("node", F.explode(chunk_keys(F.col("signature"), plan)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(keyed.join(shared, "key").select("key", "place", "node", "hub"), "members")
+    members = written(keyed.join(shared, "key").select("key", "node", "hub"), "members")
 
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = confirmed(written(within_distance(pairs, classes, plan), "pairs"), docs, plan)
     labels = connected_components(links.where("linked"))
-    for offers in (*OFFERS, None):
-        apart = pairs_apart(members.drop("hub"), labels, classes, plan, offers).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        apart = written(apart, "pairs")
-        if apart.isEmpty():
-            continue
-        links = written(links.unionByName(confirmed(apart, docs, plan)), "links")
-        labels = connected_components(links.where("linked"))
+    forest = written(candidate_forest(members.drop("hub"), labels, classes, plan), "forest")
+    if not forest.isEmpty():
+        more = links_in_clusters(forest, labels, docs, plan)
+        labels = connected_components(links.where("linked").select("a", "b").unionByName(written(more, "links")))
 
     with_class = known.join(classes.select("set_key", "node"), "set_key", "left")
     return with_class.join(labels, "node", "left").select(
