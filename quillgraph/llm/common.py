@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -49,6 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from written(), once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs, which it does when the JVM has collected their handles."""
     import gc
@@ -78,6 +87,7 @@ class StableHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=64)
 def multipliers(n: int, seed: int) -> np.ndarray:
     """n fixed odd 64-bit numbers."""
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,9 +104,9 @@ def gram_hashes(hashes: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    mixed, out = mix(hashes), np.zeros(n, np.uint64)
     for j, m in enumerate(multipliers(k, seed)):
-        out += mix(hashes[j : n + j]) * m
+        out += mixed[j : n + j] * m
     return mix(out)
 
 

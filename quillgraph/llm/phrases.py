@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import StableHashes, default_partitions, gram_hashes, written
+from .common import StableHashes, default_partitions, discard, gram_hashes, written
 
 ANCHOR = 8
 #: Segments of one anchor in a group, and segments of all anchors in a shard, on average.
@@ -51,15 +51,17 @@ def picked_anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndar
     n = len(grams) - width + 1
     if n <= 0:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-    best, place = grams[:n].copy(), np.arange(n)
-    for j in range(1, width):
-        other = grams[j : n + j]
-        lower = other < best
-        best[lower] = other[lower]
-        place[lower] = np.flatnonzero(lower) + j
+    # Upper half of the hash, then the place: the least of these in a window is its anchor. The least of `width` is made
+    # from those of 1, 2, 4, ... neighbours.
+    least, reach = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64), 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    least = np.minimum(least[:n], least[width - reach : n + width - reach])
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     ends = np.r_[starts[1:], n] - 1
-    return best[starts], place[starts], starts, ends
+    return grams[place[starts]], place[starts], starts, ends
 
 
 def anchor_lists(text: Column, window: int) -> Column:
@@ -126,43 +128,37 @@ def locate(table: pa.Table, window: int) -> pa.Table:
     doc_ids, starts = table["doc_id"].to_pylist(), table["start"].to_pylist()
     split = table["split"].to_pylist()
     texts = [x.split(b" ") for x in table["words"].to_pylist()]
-    order = sorted(range(len(texts)), key=lambda i: (doc_ids[i], starts[i]))
     letters: dict[bytes, str] = {}
-    streams = []
-    for words in texts:
+    places: dict[str, list[int]] = {}  # equal segments are streamed once; what is found in one holds for each of them
+    for i, words in enumerate(texts):
         for w in words:
             if w not in letters:
                 code = FIRST_CHAR + len(letters)
                 letters[w] = chr(code if code < 0xD800 else code + 0x800)  # surrogates are no characters
-        streams.append("".join(map(letters.__getitem__, words)))
+        places.setdefault("".join(map(letters.__getitem__, words)), []).append(i)
+    at_ = list(zip(doc_ids, starts, strict=True))
+    for own in places.values():
+        own.sort(key=at_.__getitem__)
     seen: set[str] = set()
     twice: set[str] = set()
-    for s in streams:
+    for s in places:
         for i in range(len(s) - window + 1):
             w = s[i : i + window]
             (twice if w in seen else seen).add(w)
+    for s, own in places.items():
+        if len(own) > 1:
+            twice.update(s[i : i + window] for i in range(len(s) - window + 1))
     later: list[tuple[int, int, int]] = []
     firsts: list[tuple[int, int, bytes]] = []
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for n, w in enumerate(sorted(twice)):
+    for n, w in enumerate(twice):
         automaton.add_word(w, n)
     if twice:
         automaton.make_automaton()
     first: list[tuple[int, int] | None] = [None] * len(twice)
-    for i in order:
-        s, hits = streams[i], []
-        if twice:
-            for end, n in automaton.iter(s):
-                here = (doc_ids[i], starts[i] + end - window + 1)
-                if first[n] is None:
-                    first[n] = here
-                elif first[n] != here:  # a repeated row of the same document is the same occurrence
-                    hits.append(end - window + 1)
-        if split[i]:
-            taken = set(hits)
-            for at in range(len(s) - window + 1):
-                if at not in taken:
-                    firsts.append((doc_ids[i], starts[i] + at, xxhash.xxh3_128_digest(b" ".join(texts[i][at : at + window]))))
+
+    def mark(i: int, hits: list[int]) -> None:
+        """Runs of later windows of a segment."""
         run = None
         for at in hits:
             if run is not None and at == run[0] + run[1]:
@@ -173,6 +169,28 @@ def locate(table: pa.Table, window: int) -> pa.Table:
                 run = [at, 1]
         if run is not None:
             later.append((doc_ids[i], starts[i] + run[0], run[1]))
+
+    for s, own in sorted(places.items(), key=lambda x: at_[x[1][0]]):
+        found = list(automaton.iter(s)) if twice else []
+        i = own[0]
+        doc, start = at_[i]
+        hits = []
+        for end, n in found:
+            at = end - window + 1
+            if first[n] is None:
+                first[n] = (doc, start + at)
+            elif first[n] != (doc, start + at):  # a repeated row of the same document is the same occurrence
+                hits.append(at)
+        mark(i, hits)
+        if split[i]:
+            taken = set(hits)
+            for at in range(len(s) - window + 1):
+                if at not in taken:
+                    firsts.append((doc, start + at, xxhash.xxh3_128_digest(b" ".join(texts[i][at : at + window]))))
+        every = [end - window + 1 for end, _ in found]
+        for i in own[1:]:
+            if at_[i] != (doc, start):
+                mark(i, every)
     return pa.table({
         "doc_id": pa.array([x[0] for x in later] + [x[0] for x in firsts], pa.int64()),
         "start": pa.array([x[1] for x in later] + [x[1] for x in firsts], pa.int64()),
@@ -222,15 +240,15 @@ def remove_repeats(docs: DataFrame, passages: Passages = Passages()) -> DataFram
     """
     window, spark = passages.window, docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode(anchor_lists(F.col("text"), window)).alias("a")).select(
-        "doc_id", "a.anchor", "a.n"
-    )
+    lists = written(rows.where("doc_id IS NOT NULL").select("doc_id", anchor_lists(F.col("text"), window).alias("anchors")), "anchor-lists")
+    own = lists.select("doc_id", F.explode("anchors").alias("a")).select("doc_id", "a.anchor", "a.n")
     parts = F.ceil(F.col("n") / SPLIT).cast("long")
     counts = written(own.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").withColumn("parts", parts), "anchors")
     wanted = written(
         own.select("doc_id", "anchor").join(counts.select("anchor", "parts"), "anchor")
         .groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts")).alias("anchors")), "anchored",
     )
+    discard(lists)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(default_partitions(spark), -(-total // SHARD))
     cut = (
