@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact, idfiles, mixing, neardup, phrases, quality, templates, toxicity, warc
 from .common import default_partitions, shared_folder, tune, written
+from .oracles import ORACLES  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -102,5 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_warc_packages,
     )
 }
-
-ORACLES: dict[str, str] = {}
