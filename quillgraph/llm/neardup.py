@@ -207,25 +207,19 @@ UNIT_PAIRS = "a long, b long"
 
 
 class Forest:
-    """Union of what belongs together; add says whether two were apart."""
+    """What belongs together of a block, by a label for each place. A join relabels in NumPy, and pairs inside a tree are
+    skipped in NumPy too, so the steps in Python are as many as the tree edges, however many pairs there are."""
 
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+    def __init__(self, labels: np.ndarray):
+        self.labels = np.unique(labels, return_inverse=True)[1]
 
-    def root(self, x: int) -> int:
-        path = []
-        while (y := self.up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for z in path:
-            self.up[z] = x
-        return x
-
-    def add(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+    def join(self, i: int, others: np.ndarray) -> list[int]:
+        """Join place i with the others; returns those with which a tree edge was made."""
+        made = []
+        while len(others := others[self.labels[others] != self.labels[i]]):
+            made.append(int(others[0]))
+            self.labels[self.labels == self.labels[others[0]]] = self.labels[i]
+        return made
 
 
 def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
@@ -255,9 +249,10 @@ def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame,
             left = [r for r in rows if r["block"] == u]
             right = left if u == v else [r for r in rows if r["block"] == v]
             found: list[tuple[int, int]] = []
-            forest = Forest()
             if not left or not right:
                 return []
+            both = left if u == v else left + right
+            forest, shift = Forest(np.arange(len(both))), len(both) - len(right)
             table, more = values_of([r["signature"] for r in right])
             groups = np.array([r["component"] for r in right], np.int64)
             sizes = np.array([r["size"] for r in right], np.int64)
@@ -273,10 +268,8 @@ def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame,
                 differ = table[at] != mine
                 near = differ.sum(1)
                 total = near + (more[at] != mine2).sum(1)
-                for k in np.flatnonzero((near <= near_most) & (total <= all_most)).tolist():
-                    other = right[at[k]]["node"]
-                    if forest.add(r["node"], other):
-                        found.append((min(r["node"], other), max(r["node"], other)))
+                for j in forest.join(i, at[(near <= near_most) & (total <= all_most)] + shift):
+                    found.append((min(r["node"], both[j]["node"]), max(r["node"], both[j]["node"])))
             return found
 
         rows: list[dict] = []
@@ -339,9 +332,8 @@ def links_in_clusters(forest: DataFrame, labels: DataFrame, docs: DataFrame, pla
             u, v = rows[0]["u"], rows[0]["v"]
             left = sorted((r for r in rows if r["block"] == u), key=lambda r: r["node"])
             right = left if u == v else sorted((r for r in rows if r["block"] == v), key=lambda r: r["node"])
-            forest, out = Forest(), []
-            for r in left + right:
-                forest.add(r["component"], r["node"])
+            places, out = left if u == v else left + right, []
+            forest, shift = Forest(np.array([r["component"] for r in places], np.int64)), len(places) - len(right)
             for i in range(0, len(left), 256):
                 a = left[i : i + 256]
                 sets_a = [np.frombuffer(r["members"], np.uint64) for r in a]
@@ -352,10 +344,9 @@ def links_in_clusters(forest: DataFrame, labels: DataFrame, docs: DataFrame, pla
                     n_b = np.array([len(x) for x in sets_b])
                     both = common_counts(sets_a, sets_b).astype(np.int64)
                     linked = 100 * both >= percent * (n_a[:, None] + n_b[None, :] - both)
-                    linked &= np.array([r["component"] for r in a])[:, None] != np.array([r["component"] for r in b])[None, :]
-                    for x, y in np.argwhere(linked).tolist():
-                        if forest.add(a[x]["node"], b[y]["node"]):
-                            out.append((a[x]["node"], b[y]["node"]))
+                    for x in np.flatnonzero(linked.any(1)).tolist():
+                        for y in forest.join(i + x, np.flatnonzero(linked[x]) + j + shift):
+                            out.append((a[x]["node"], places[y]["node"]))
             return out
 
         held: list[dict] = []
