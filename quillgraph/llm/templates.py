@@ -26,7 +26,7 @@ class Tree:
     depth: int = 3
     max_children: int = 8
     min_fixed: float = 0.6
-    min_docs: int = 4
+    min_docs: int = 2
 
 
 def _two_hashes(*parts: Column) -> Column:

@@ -174,6 +174,12 @@ def test_line_templates(spark):
     assert templates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_two_and_three_documents_recur(spark):
+    rows = [(i, f"only in document number {'abcde'[i]} here\n" + ("shared by two" if i < 2 else "shared by three")) for i in range(5)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (t, 0) if i in (0, 2) else (t.split("\n")[0], 1) for i, t in rows}
+
+
 def brute_near(rows, k, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
