@@ -1,11 +1,17 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line is parsed down a tree of fixed depth: number of tokens, then its leading tokens, then a template. Tokens with a digit
-are variable fields from the start. In a leaf (same count, same leading tokens) a later position is a variable field too if
-its tokens differ too much there: it has more than `max_children` distinct tokens among the leaf's templates. Lines of the leaf
-that then agree in all fixed tokens share a template, provided that at least `min_fixed` of the tokens are fixed; else the line
-keeps the template it had. A template that occurs in at least `min_docs` documents recurs: its lines stay in the
-document with the smallest id and are dropped from all others.
+are variable fields from the start. Lines of a leaf (same count, same leading tokens) that agree in at least `min_fixed` of
+their tokens form a cluster; a cluster of more than `max_children` distinct lines is one template, and its other positions are
+variable fields. All other lines keep the template they had, so lines of other clusters and the size of the leaf don't matter.
+A template that occurs in at least `min_docs` documents recurs: its lines stay in the document with the smallest id and are
+dropped from all others.
+
+Clusters: a line's signature is as many of its tokens as have to agree, those that most distinct lines of the leaf have at
+the same place; constants of a template stand in all its lines, its variable tokens in fewer. Lines with one signature
+agree by construction. Then a group of equal signatures joins the largest group that shares one of its signature tokens and
+agrees with it in enough tokens, unless that one joins another itself; this takes in lines in which a constant was edited.
+No two lines of a leaf are compared but each group with one group for each of its tokens.
 """
 
 from __future__ import annotations
@@ -63,13 +69,47 @@ def _documents(forms: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def clustered(forms: DataFrame, tree: Tree) -> DataFrame:
+    """(template, general) of the forms (leaf, template, masked, n_tokens) whose cluster has more than max_children of them."""
+    enough = F.ceil(F.col("n_tokens") * tree.min_fixed - 1e-9)
+    tokens = forms.select("leaf", "template", "n_tokens", F.posexplode(F.split("masked", " ")).alias("pos", "token")).where(F.col("pos") >= tree.depth)
+    common = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("n"))
+    ranked = tokens.join(common, ["leaf", "pos", "token"]).groupBy("template", "n_tokens").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "token"))).alias("ranked")
+    )
+    picked = F.slice("ranked", F.lit(1), F.greatest(enough - tree.depth, F.lit(0)).cast("int"))
+    signed = forms.join(
+        ranked.select("template", F.transform(picked, lambda t: F.struct(t.pos.alias("pos"), t.token.alias("token"))).alias("picked")), "template"
+    ).withColumn("group", _two_hashes(F.col("leaf"), F.to_json("picked")))
+    signed = written(signed, "line-signatures")
+
+    groups = signed.groupBy("leaf", "group", "n_tokens").agg(
+        F.count("*").alias("n"), F.min(F.struct("template", "masked", "picked")).alias("one")
+    ).select("leaf", "group", "n_tokens", "n", "one.masked", "one.picked")
+    groups = written(groups, "line-groups")
+    keys = groups.select("leaf", "group", "n", F.explode("picked").alias("key"))
+    leaders = keys.groupBy("leaf", "key").agg(F.max(F.struct("n", "group")).alias("leader"))
+    pairs = keys.join(leaders, ["leaf", "key"]).where(F.col("group") != F.col("leader.group")).select("group", "leader").distinct()
+    side = lambda c, text: groups.select(F.col("group").alias(c), F.split("masked", " ").alias(text), F.col("n_tokens").alias("n_" + text))
+    alike = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda same: same))
+    joins = (
+        pairs.select("group", "leader", F.col("leader.group").alias("to")).join(side("group", "a"), "group").join(side("to", "b"), "to")
+        .where(alike >= F.ceil(F.col("n_a") * tree.min_fixed - 1e-9)).select("group", "leader", "to")
+    )
+    joins = written(joins, "line-joins")
+    best = joins.join(joins.select(F.col("group").alias("to")).distinct(), "to", "left_anti").groupBy("group").agg(F.max("leader").alias("leader"))
+    home = groups.join(best, "group", "left").select("group", "n", F.coalesce("leader.group", "group").alias("general"))
+    large = home.groupBy("general").agg(F.sum("n").alias("n")).where(F.col("n") > tree.max_children)
+    return signed.select("template", "group").join(home.select("group", "general").join(large.select("general"), "general"), "group").select("template", "general")
+
+
 def recurring(lines: DataFrame, texts: DataFrame, tree: Tree) -> DataFrame:
-    """(template, first_doc) of the lines' recurring templates; template as it was before its leaf made fields of positions.
+    """(template, first_doc) of the lines' recurring templates; template as it was before clusters were found.
 
-    lines has no text; where a leaf may have fields, the text of one line of each template is looked up in texts, by its place.
+    lines has no text; where a leaf may have clusters, the text of one line of each template is looked up in texts, by its place.
     """
     counted = written(_documents(lines, ["leaf", "template"]), "line-templates")
-    # Leaves with so many templates that a position may have become a field; only for these the tokens are looked at.
+    # Leaves with so many templates that there may be a cluster; only for these the tokens are looked at.
     mixed = counted.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("docs")).where(
         (F.col("n") > tree.max_children) & (F.col("docs") >= tree.min_docs)
     )
@@ -78,17 +118,7 @@ def recurring(lines: DataFrame, texts: DataFrame, tree: Tree) -> DataFrame:
         parsed_lines(texts, tree).join(places, ["row_id", "line_no"], "left_semi")
         .select("leaf", "template", "masked", "n_tokens").dropDuplicates(["template"]), "line-forms",
     )
-    tokens = forms.select("leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token")).where(F.col("pos") >= tree.depth)
-    fields = (
-        tokens.distinct().groupBy("leaf", "pos").agg(F.count("*").alias("n")).where(F.col("n") > tree.max_children)
-        .groupBy("leaf").agg(F.collect_list("pos").alias("fields"))
-    )
-    shape = F.array_join(
-        F.transform(F.split("masked", " "), lambda t, i: F.when(F.array_contains("fields", i), F.lit(FIELD)).otherwise(t)), " "
-    )
-    general = forms.join(fields, "leaf").where(
-        F.col("n_tokens") - F.size("fields") >= tree.min_fixed * F.col("n_tokens")
-    ).select("template", _two_hashes(F.col("n_tokens"), shape).alias("general"))
+    general = clustered(forms, tree)
     general = written(general, "line-general")
 
     of_forms = lines.select("template", "row_id", "doc_id", "line_no").join(general, "template")

@@ -180,6 +180,18 @@ def test_lines_of_two_and_three_documents_recur(spark):
     assert got == {i: (t, 0) if i in (0, 2) else (t.split("\n")[0], 1) for i, t in rows}
 
 
+def test_template_families_of_one_leaf(spark):
+    names = "ann bob cyd dan eve fay gus hal ivy jon".split()
+    texts = [f"Posted by the user {w} in general news today" for w in names]
+    texts += [f"Posted by the group {w} on special offers weekly" for w in names]
+    texts += ["Posted by the " + " ".join(f"{a}{c}" for c in "uvwxyz") for a in "abcdefghi"]  # nothing in common but the leaf
+    words = "Copies of one sentence that many pages have with one word changed somewhere in it".split()
+    edits = [(j, w) for j in range(3, len(words)) for w in ("foo", "bar")]
+    texts += [" ".join(words)] + [" ".join(words[:j] + [w] + words[j + 1 :]) for j, w in edits]
+    got = {r.doc_id: r.n_dropped for r in templates.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [i for i in range(len(texts)) if not got[i]] == [0, 10, *range(20, 29), 29]
+
+
 def brute_near(rows, k, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
