@@ -529,13 +529,16 @@ def max_flow(g: PropertyGraph, source: int, sink: int, capacity: str | None = No
 
 
 def louvain(g: PropertyGraph, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
-    """(node_id, community_id): one level of local moving for modularity, nodes in order of id, ties to the smaller community. Sequential."""
+    """(node_id, community_id): one level of local moving for modularity, nodes in order of id, ties to the smaller community. Sequential.
+
+    Only nodes with edges are gathered; each other node is its own community.
+    """
     near, total = defaultdict(lambda: defaultdict(float)), 0.0
     for a, b, _ in _local_edges(g):
         near[a][b] += 1.0
         near[b][a] += 1.0
         total += 1.0
-    nodes = sorted(r[0] for r in vertices(g).limit(SEQUENTIAL_EDGES).collect())
+    nodes = sorted(near)
     degree = {x: sum(near[x].values()) for x in nodes}
     home = {x: x for x in nodes}
     weight = dict(degree)
@@ -557,7 +560,8 @@ def louvain(g: PropertyGraph, resolution: float = 1.0, sweeps: int = 100) -> Dat
     least: dict[int, int] = {}
     for x in nodes:
         least.setdefault(home[x], x)
-    return g.spark.createDataFrame([(x, least[home[x]]) for x in nodes], "node_id long, community_id long")
+    found = g.spark.createDataFrame([(x, least[home[x]]) for x in nodes], "id long, community_id long")
+    return vertices(g).join(found, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("community_id", "id").alias("community_id"))
 
 
 def contracted(g: PropertyGraph, groups: DataFrame) -> DataFrame:

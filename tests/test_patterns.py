@@ -56,3 +56,11 @@ def test_syntax_and_constraints(spark, social):
     catalog.add_constraint("unique", "Person", "city")
     catalog.add_constraint("not_null", "Person", "age")
     assert [r.violations for r in catalog.violations(social).collect()] == [2, 0]
+
+
+def test_louvain_covers_nodes_beyond_the_edge_limit(spark, monkeypatch):
+    monkeypatch.setattr(A, "SEQUENTIAL_EDGES", 3)
+    node = node_table(spark.range(1, 9), "N")
+    e = spark.createDataFrame([(1, 6, 7), (2, 7, 8)], "id long, src long, dst long").withColumn("type", F.lit("E"))
+    got = {r.node_id: r.community_id for r in A.louvain(PropertyGraph(spark, {"N": node}, {"E": e})).collect()}
+    assert got == {i: i for i in range(1, 6)} | dict.fromkeys((6, 7, 8), 6)
