@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import algorithms as A
-from ..sources.tables import star_graph, strong_trades
+from ..sources.tables import star_graph, strong_trades, trade_graph
 from .patterns import SHORTEST, TRADES
 from .registry import query
 
@@ -36,12 +36,12 @@ def pagerank(spark, sf_dir):
 
 @query("pagerank_full")
 def pagerank_full(spark, sf_dir):
-    return A.pagerank(strong_trades(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return A.pagerank(trade_graph(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("hits")
 def hits(spark, sf_dir):
-    return A.hits(strong_trades(spark, sf_dir), max_iterations=5).select("node_id", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
+    return A.hits(trade_graph(spark, sf_dir), max_iterations=5).select("node_id", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
 
 
 @query("wcc", "SELECT r_regionkey::BIGINT AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -98,22 +98,22 @@ def closeness(spark, sf_dir):
 
 @query("betweenness")
 def betweenness(spark, sf_dir):
-    return A.betweenness_centrality(strong_trades(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return A.betweenness_centrality(trade_graph(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("kcore")
 def kcore(spark, sf_dir):
-    return A.kcore(strong_trades(spark, sf_dir))
+    return A.kcore(trade_graph(spark, sf_dir))
 
 
 @query("minimum_spanning_tree")
 def mst(spark, sf_dir):
-    return A.minimum_spanning_forest(strong_trades(spark, sf_dir), "weight")
+    return A.minimum_spanning_forest(trade_graph(spark, sf_dir), "weight")
 
 
 @query("label_propagation")
 def label_propagation(spark, sf_dir):
-    return A.label_propagation(strong_trades(spark, sf_dir), 10)
+    return A.label_propagation(trade_graph(spark, sf_dir), 10)
 
 
 @query("floyd_warshall", f"{SHORTEST} SELECT a AS source, b AS target, len::DOUBLE AS distance FROM m")
@@ -123,17 +123,17 @@ def floyd_warshall(spark, sf_dir):
 
 @query("max_flow")
 def max_flow(spark, sf_dir):
-    return A.max_flow(strong_trades(spark, sf_dir), 0, 1, "weight")
+    return A.max_flow(trade_graph(spark, sf_dir), 0, 1, "weight")
 
 
 @query("louvain")
 def louvain(spark, sf_dir):
-    return A.louvain(strong_trades(spark, sf_dir))
+    return A.louvain(trade_graph(spark, sf_dir))
 
 
 @query("bridges")
 def bridges(spark, sf_dir):
-    return A.bridges(strong_trades(spark, sf_dir))
+    return A.bridges(trade_graph(spark, sf_dir))
 
 
 @query("khop", f"WITH {UNDIRECTED} SELECT id, min(depth) AS depth FROM (SELECT 0::BIGINT AS id, 0::BIGINT AS depth UNION ALL SELECT y, 1 FROM nb WHERE x = 0 UNION ALL SELECT b.y, 2 FROM nb a JOIN nb b ON a.y = b.x WHERE a.x = 0) GROUP BY 1")

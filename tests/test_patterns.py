@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillgraph.graph import GraphCatalog, PropertyGraph, node_table
 from quillgraph.operators import algorithms as A
 from quillgraph.plans.parser import SyntaxProblem, parse
+from quillgraph.queries.registry import ORACLES, QUERIES
+from quillgraph.sources.tables import trade_graph
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +66,30 @@ def test_louvain_covers_nodes_beyond_the_edge_limit(spark, monkeypatch):
     e = spark.createDataFrame([(1, 6, 7), (2, 7, 8)], "id long, src long, dst long").withColumn("type", F.lit("E"))
     got = {r.node_id: r.community_id for r in A.louvain(PropertyGraph(spark, {"N": node}, {"E": e})).collect()}
     assert got == {i: i for i in range(1, 6)} | dict.fromkeys((6, 7, 8), 6)
+
+
+def test_max_flow_runs_on_all_trades(spark):
+    from quillgraph.queries import analytics  # noqa: F401  it registers the queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    e = {(r.src, r.dst): r.weight for r in trade_graph(spark, sf_dir).edges["TRADES"].collect() if r.src != r.dst}
+    room, flow = {k: float(w) for k, w in e.items()}, 0.0
+    while True:
+        by, queue = {0: None}, [0]
+        for x in queue:
+            for y in range(25):
+                if y not in by and room.get((x, y), 0) > 0:
+                    by[y] = x
+                    queue.append(y)
+        if 1 not in by:
+            break
+        path, y = [], 1
+        while by[y] is not None:
+            path.append((by[y], y))
+            y = by[y]
+        add = min(room[k] for k in path)
+        for a, b in path:
+            room[a, b] -= add
+            room[b, a] = room.get((b, a), 0.0) + add
+        flow += add
+    assert "max_flow" not in ORACLES and QUERIES["max_flow"](spark, sf_dir).first().max_flow == flow
