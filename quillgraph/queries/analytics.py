@@ -41,7 +41,7 @@ def pagerank_full(spark, sf_dir):
 
 @query("hits")
 def hits(spark, sf_dir):
-    return A.hits(trade_graph(spark, sf_dir), max_iterations=5).select("node_id", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
+    return A.hits(trade_graph(spark, sf_dir)).select("node_id", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
 
 
 @query("wcc", "SELECT r_regionkey::BIGINT AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -113,7 +113,7 @@ def mst(spark, sf_dir):
 
 @query("label_propagation")
 def label_propagation(spark, sf_dir):
-    return A.label_propagation(trade_graph(spark, sf_dir), 10)
+    return A.label_propagation(trade_graph(spark, sf_dir))
 
 
 @query("floyd_warshall", f"{SHORTEST} SELECT a AS source, b AS target, len::DOUBLE AS distance FROM m")

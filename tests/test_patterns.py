@@ -93,3 +93,14 @@ def test_max_flow_runs_on_all_trades(spark):
             room[b, a] = room.get((b, a), 0.0) + add
         flow += add
     assert "max_flow" not in ORACLES and QUERIES["max_flow"](spark, sf_dir).first().max_flow == flow
+
+
+def test_hits_and_label_propagation_run_to_the_end(spark, monkeypatch):
+    from quillgraph.queries import analytics  # noqa: F401  it registers the queries
+
+    asked = []
+    result = spark.range(1).selectExpr("id AS node_id", "0.0D AS hub", "0.0D AS authority")
+    for name in ("hits", "label_propagation"):
+        monkeypatch.setattr(A, name, lambda g, *args, **named: asked.append((args, named)) or result)
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [((), {})] * 2
