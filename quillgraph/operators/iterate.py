@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Rounds:
-    """Reliable checkpoints in the folder of spark.checkpoint.dir; where the cluster names none, in /tmp/checkpoints."""
+    """Reliable checkpoints in the folder of spark.checkpoint.dir; where none is named, a local master uses /tmp/checkpoints and a cluster is an error."""
 
     def __init__(self, spark: SparkSession):
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
             named = spark.conf.get("spark.checkpoint.dir", None)
+            if not named and not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(named or "/tmp/checkpoints")
 
     def keep(self, df: DataFrame) -> DataFrame:
