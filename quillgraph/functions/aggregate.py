@@ -33,7 +33,12 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "percentile_cont": lambda x, p: F.percentile(x, p), "percentilecont": lambda x, p: F.percentile(x, p),
     "group_concat": lambda x, sep=None: F.array_join(F.sort_array(F.collect_list(x.cast("string"))), sep or " "),
     "listagg": lambda x, sep=None: F.array_join(F.sort_array(F.collect_list(x.cast("string"))), sep or ","),
-    "sample": F.min, "first": F.min, "any_value": F.min,
+    # any of the values is right for these; the smallest is the same in every run
+    "sample": F.min, "any_value": F.min,
+    # rows have no order of their own, so first and last are asked for by a key: first(x, key)
+    "first": lambda x, key=None: F.first(x, ignorenulls=True) if key is None else F.min_by(x, F.when(x.isNotNull(), key)),
+    "first_value": lambda x, key: F.min_by(x, F.when(x.isNotNull(), key)), "last_value": lambda x, key: F.max_by(x, F.when(x.isNotNull(), key)),
+    "map_collect": lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v))),
     "covar_samp": F.covar_samp, "covar_pop": F.covar_pop, "corr": _defined(F.corr),
     "regr_slope": F.regr_slope, "regr_intercept": F.regr_intercept, "regr_r2": _defined(F.regr_r2), "regr_count": F.regr_count,
     "regr_sxx": F.regr_sxx, "regr_syy": F.regr_syy, "regr_sxy": F.regr_sxy, "regr_avgx": F.regr_avgx, "regr_avgy": F.regr_avgy,

@@ -52,6 +52,11 @@ class PropertyGraph:
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    name: str = "default"
+    #: Tables (node, value) of scores that queries may ask for by a function of the same name: energy(n), risk(n).
+    scores: dict[str, DataFrame] = field(default_factory=dict)
+    #: Stored procedures: lower-cased name -> (names of parameters, query text).
+    procedures: dict[str, tuple[list[str], str]] = field(default_factory=dict)
 
     # -- scans
     def node_scan(self, labels: tuple | None = None) -> DataFrame:
@@ -139,11 +144,92 @@ class PropertyGraph:
             for name, df in tables.items():
                 df.write.mode("overwrite").json(f"{path}/{kind}/{name}")
 
+    @staticmethod
+    def load_json(spark: SparkSession, path: str, labels: list[str], types: list[str]) -> PropertyGraph:
+        """A graph of dump_json. Numbers come back as long or double; what was null everywhere is gone."""
+        return PropertyGraph(spark, {x: spark.read.json(f"{path}/nodes/{x}") for x in labels}, {x: spark.read.json(f"{path}/edges/{x}") for x in types})
+
+    # -- other libraries
+    def nodes_df(self, label: str) -> object:
+        """The nodes of a label as a pandas DataFrame: all of them come to the driver."""
+        return self.nodes[label].toPandas()
+
+    def edges_df(self, type_: str) -> object:
+        return self.edges[type_].toPandas()
+
+    def with_pandas(self, label: str, frame: object, key: str = "id") -> PropertyGraph:
+        """The graph with a table of nodes from a pandas or polars DataFrame; `key` becomes the id."""
+        data = frame.to_pandas() if hasattr(frame, "to_pandas") else frame
+        return self.with_tables({**self.nodes, label: node_table(self.spark.createDataFrame(data), label, key)})
+
+    def to_networkx(self, most: int = 1_000_000) -> object:
+        """A networkx MultiDiGraph; all nodes and edges come to the driver, so at most so many."""
+        import networkx
+
+        out = networkx.MultiDiGraph()
+        for label, df in self.nodes.items():
+            rows = df.limit(most + 1).collect()
+            if len(rows) > most:
+                raise ValueError(f"more than {most} nodes of {label}")
+            out.add_nodes_from((r.id, {"labels": r.labels, **{k: v for k, v in r.asDict().items() if k not in NODE_KEYS}}) for r in rows)
+        for type_, df in self.edges.items():
+            rows = df.limit(most + 1).collect()
+            if len(rows) > most:
+                raise ValueError(f"more than {most} edges of {type_}")
+            out.add_edges_from((r.src, r.dst, r.id, {"type": r.type, **{k: v for k, v in r.asDict().items() if k not in EDGE_KEYS}}) for r in rows)
+        return out
+
+    @staticmethod
+    def from_networkx(spark: SparkSession, source: object, label: str = "Node", type_: str = "EDGE") -> PropertyGraph:
+        """A graph of a networkx graph with integer nodes; attributes become properties."""
+        import pandas as pd
+
+        nodes = pd.DataFrame([{"id": n, **{k: v for k, v in d.items() if k != "labels"}} for n, d in source.nodes(data=True)])
+        edges = pd.DataFrame([{"id": i, "src": a, "dst": b, **{k: v for k, v in d.items() if k != "type"}} for i, (a, b, d) in enumerate(source.edges(data=True))])
+        e = spark.createDataFrame(edges) if len(edges) else spark.createDataFrame([], "id long, src long, dst long")
+        return PropertyGraph(spark, {label: node_table(spark.createDataFrame(nodes), label)}, {type_: e.withColumn("type", F.lit(type_))})
+
+    # -- scores and procedures
+    def with_score(self, name: str, table: DataFrame) -> PropertyGraph:
+        """The graph with a score: a table (node, value); a function of that name joins it by id."""
+        return replace(self, scores={**self.scores, name.lower(): table})
+
+    def with_procedure(self, name: str, parameters: list[str], text: str) -> PropertyGraph:
+        """The graph with a stored query that CALL name(values) runs."""
+        return replace(self, procedures={**self.procedures, name.lower(): (parameters, text)})
+
+    def sparql(self, text: str) -> DataFrame:
+        """Rows of a SPARQL query over the graph's triples (see plans.triples)."""
+        from .plans.triples import graph_store
+
+        return graph_store(self).query(text)
+
+    def gremlin(self, text: str) -> DataFrame:
+        from .plans.gremlin import query
+
+        return query(self, text)
+
+    def graphql(self, text: str, variables: dict | None = None) -> DataFrame:
+        from .plans.graphql import query
+
+        return query(self, text, variables)
+
+    def sql(self, text: str, **params: object) -> DataFrame:
+        from .plans.pgq import sql
+
+        return sql(self, text, **params)
+
     def query(self, text: str, **params: object) -> DataFrame:
         from .plans.builder import run
 
         return run(self, text, params)
 
+    def execute(self, text: str, **params: object) -> object:
+        """Outcome (graph, rows) of a statement that changes the graph."""
+        from .operators.mutation import execute
+
+        return execute(self, text, **params)
+
 
 def _holds(e: tuple, labels: set[str]) -> bool:
     match e:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph, stacked
@@ -57,12 +57,12 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, max_iterations: int = 100,
     degree = arcs(g).groupBy("src").agg(F.count("*").alias("d"))
     steps = r.keep(out.join(degree, "src").select("src", "dst", (F.col("k") / F.col("d")).alias("share")))
     # Even without seeds every node has a share of the jumps; with seeds only they have.
+    n = v.count()
     if seeds is None:
-        jump = v.withColumn("jump", 1 / F.count("*").over(Window.partitionBy()))
+        jump = v.withColumn("jump", F.lit(1.0 / max(n, 1)))
     else:
-        own = seeds.select("id").distinct().withColumn("jump", 1 / F.count("*").over(Window.partitionBy()))
-        jump = v.join(own, "id", "left").fillna(0.0, ["jump"])
-    n = v.count()
+        own = seeds.select("id").distinct().join(v, "id", "left_semi")
+        jump = v.join(own.withColumn("jump", F.lit(1.0 / max(own.count(), 1))), "id", "left").fillna(0.0, ["jump"])
     base = r.keep(
         v.join(jump, "id").join(degree.withColumnRenamed("src", "id"), "id", "left")
         .select("id", (F.lit(1.0 / n) if seeds is None else F.col("jump")).alias("start"), "jump", F.col("d").isNull().alias("dangling"))
@@ -405,16 +405,20 @@ def minimum_spanning_forest(g: PropertyGraph, weight: str | None = None) -> Data
         label = connected_components(part).select(F.col("node_id").alias("id"), F.col("component_id").alias("c"))
 
 
-def khop(g: PropertyGraph, center: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes within k undirected hops (id, depth) and the edges between them."""
-    both = arcs(g).select("src", "dst")
+def khop(g: PropertyGraph, center: int, k: int, rel_types: list[str] | None = None, max_neighbors_per_hop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Nodes within k undirected hops (id, depth) over edges of these types and the edges between them. max_neighbors_per_hop: so many neighbours of a node, those with the
+    smallest ids, are followed; 0: all."""
+    both = arcs(g, types=rel_types).select("src", "dst")
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    if max_neighbors_per_hop:
+        w = Window.partitionBy("src").orderBy("dst")
+        both = both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_neighbors_per_hop).drop("_n")
     seen = frontier = vertices(g).where(F.col("id") == center).select("id", F.lit(0).cast("long").alias("depth"))
     for depth in range(1, k + 1):
         new = frontier.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = new.select("id", F.lit(depth).cast("long").alias("depth"))
         seen = seen.unionByName(frontier)
-    e = g.edge_scan()
+    e = g.edge_scan(rel_types)
     inside = e.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_semi")
     return seen, inside
 
@@ -490,11 +494,11 @@ def bridges(g: PropertyGraph) -> DataFrame:
 
 
 def max_flow(g: PropertyGraph, source: int, sink: int, capacity: str | None = None, cost: str | None = None) -> DataFrame:
-    """(max_flow, total_cost): shortest augmenting paths, cheapest ones if a cost is given. Parallel edges add up. Sequential."""
+    """(max_flow, total_cost): shortest augmenting paths, cheapest ones if a cost is given. Parallel edges of one cost add up, those of other costs are edges of their own. Sequential."""
     e = g.edge_scan()
     cap = F.coalesce(F.col(capacity).cast("double"), F.lit(1.0)) if capacity else F.lit(1.0)
     price = F.coalesce(F.col(cost).cast("double"), F.lit(0.0)) if cost else F.lit(0.0)
-    rows = e.groupBy("src", "dst").agg(F.sum(cap), F.min(price)).limit(SEQUENTIAL_EDGES + 1).collect()
+    rows = e.groupBy("src", "dst", price.alias("price")).agg(F.sum(cap).alias("cap")).select("src", "dst", "cap", "price").limit(SEQUENTIAL_EDGES + 1).collect()
     if len(rows) > SEQUENTIAL_EDGES:
         raise ValueError(f"this algorithm is sequential and takes at most {SEQUENTIAL_EDGES} edges")
     to, room, fee, out = [], [], [], defaultdict(list)
@@ -538,29 +542,11 @@ def louvain(g: PropertyGraph, resolution: float = 1.0, sweeps: int = 100) -> Dat
         near[a][b] += 1.0
         near[b][a] += 1.0
         total += 1.0
-    nodes = sorted(near)
-    degree = {x: sum(near[x].values()) for x in nodes}
-    home = {x: x for x in nodes}
-    weight = dict(degree)
-    for _ in range(sweeps if total else 0):
-        moved = False
-        for x in nodes:
-            links = defaultdict(float)
-            for y, w in near[x].items():
-                if y != x:
-                    links[home[y]] += w
-            weight[home[x]] -= degree[x]
-            gain = lambda c: links[c] - resolution * degree[x] * weight[c] / (2 * total)  # noqa: B023, E731
-            best = max([home[x], *sorted(links)], key=lambda c: (round(gain(c), 12), c == home[x], -c))  # noqa: B023
-            weight[best] += degree[x]
-            moved |= best != home[x]
-            home[x] = best
-        if not moved:
-            break
+    home = _local_moves(near, total, resolution, sweeps) if total else {}
     least: dict[int, int] = {}
-    for x in nodes:
+    for x in sorted(near):
         least.setdefault(home[x], x)
-    found = g.spark.createDataFrame([(x, least[home[x]]) for x in nodes], "id long, community_id long")
+    found = g.spark.createDataFrame([(x, least[home[x]]) for x in sorted(near)], "id long, community_id long")
     return vertices(g).join(found, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("community_id", "id").alias("community_id"))
 
 
@@ -582,3 +568,159 @@ def heat_diffusion(g: PropertyGraph, values: DataFrame, iterations: int = 4, alp
         mean = both.join(v, F.col("b") == F.col("id")).groupBy("a").agg(F.avg("value").alias("m"))
         v = r.keep(v.join(mean, F.col("id") == F.col("a"), "left").select("id", (alpha * F.col("value") + (1 - alpha) * F.coalesce("m", "value")).alias("value")))
     return v.withColumnRenamed("id", "node_id")
+
+
+def astar(g: PropertyGraph, source: int, target: int, weight: str | None = None, heuristic: DataFrame | None = None) -> DataFrame:
+    """(node_id, distance) of target, if it can be reached. heuristic (id, estimate): a lower bound of the way from a node to the target.
+
+    Rounds of relaxation as in sssp, but what can't beat the best way to the target found so far (distance + estimate) isn't followed.
+    """
+    r = Rounds(g.spark)
+    e = r.keep(arcs(g, weight).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    rest = heuristic.select("id", F.col("estimate").cast("double").alias("h")) if heuristic is not None else None
+    dist = r.keep(vertices(g).where(F.col("id") == source).select("id", F.lit(0.0).alias("d"), F.lit(True).alias("new")))
+    while True:
+        best = dist.where(F.col("id") == target).agg(F.min("d")).first()[0]
+        front = dist.where("new")
+        if best is not None:
+            front = front.where(F.col("d") < best) if rest is None else front.join(rest, "id", "left").where(F.col("d") + F.coalesce("h", F.lit(0.0)) < best).select("id", "d")
+        step = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("b")).groupBy("id").agg(F.min("b").alias("b"))
+        dist = r.keep(dist.join(step, "id", "full").select("id", F.least("d", "b").alias("d"), F.coalesce(F.col("b") < F.col("d"), F.col("b").isNotNull() & F.col("d").isNull()).alias("new")))
+        if dist.where("new").isEmpty():
+            return dist.where(F.col("id") == target).select(F.col("id").alias("node_id"), F.col("d").alias("distance"))
+
+
+def leiden(g: PropertyGraph, resolution: float = 1.0, levels: int = 20) -> DataFrame:
+    """(node_id, community_id): Louvain levels, each community of which is first split into its connected parts; ends when a level moves nothing. A community's id is its
+    smallest node. So no community is disconnected. The moves of a level are made one after the other. Sequential."""
+    near: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    total = 0.0
+    for a, b, _ in _local_edges(g):
+        near[a][b] += 1.0
+        near[b][a] += 1.0
+        total += 1.0
+    members = {x: [x] for x in near}
+    graph = {x: dict(ys) for x, ys in near.items()}
+    for _ in range(levels if total else 0):
+        home = _local_moves(graph, total, resolution)
+        parts = _connected_parts(graph, home)
+        if len(set(parts.values())) == len(graph):
+            break
+        groups: dict[int, list[int]] = defaultdict(list)
+        merged: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for x in graph:
+            groups[parts[x]] += members[x]
+            for y, w in graph[x].items():
+                merged[parts[x]][parts[y]] += w
+        members, graph = dict(groups), {x: dict(ys) for x, ys in merged.items()}
+    found = [(x, min(own)) for own in members.values() for x in own]
+    placed = g.spark.createDataFrame(found, "id long, community_id long")
+    return vertices(g).join(placed, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("community_id", "id").alias("community_id"))
+
+
+def _local_moves(graph: dict[int, dict[int, float]], total: float, resolution: float, sweeps: int = 100) -> dict[int, int]:
+    degree = {x: sum(ys.values()) for x, ys in graph.items()}
+    home, weight = {x: x for x in graph}, dict(degree)
+    for _ in range(sweeps):
+        moved = False
+        for x in sorted(graph):
+            links: dict[int, float] = defaultdict(float)
+            for y, w in graph[x].items():
+                if y != x:
+                    links[home[y]] += w
+            weight[home[x]] -= degree[x]
+            gain = {c: links[c] - resolution * degree[x] * weight[c] / (2 * total) for c in {home[x], *links}}
+            best = max(gain, key=lambda c: (round(gain[c], 12), c == home[x], -c))  # noqa: B023
+            weight[best] += degree[x]
+            moved |= best != home[x]
+            home[x] = best
+        if not moved:
+            break
+    return home
+
+
+def _connected_parts(graph: dict[int, dict[int, float]], home: dict[int, int]) -> dict[int, int]:
+    part: dict[int, int] = {}
+    for root in sorted(graph):
+        if root in part:
+            continue
+        stack = [root]
+        part[root] = root
+        while stack:
+            x = stack.pop()
+            for y in graph[x]:
+                if y not in part and home[y] == home[root]:
+                    part[y] = root
+                    stack.append(y)
+    return part
+
+
+def stable_communities(new: DataFrame, old: DataFrame, min_overlap: float = 0.3) -> DataFrame:
+    """(node_id, community_id): a new community takes the id of the old one it shares most with, if the Jaccard similarity is at least min_overlap; an old id goes to the best new
+    community only. Others keep their new id, raised above all old ones."""
+    a = new.select("node_id", F.col("community_id").alias("n"))
+    b = old.select("node_id", F.col("community_id").alias("o"))
+    both = a.join(b, "node_id").groupBy("n", "o").agg(F.count("*").alias("k"))
+    size = lambda df, c: df.groupBy(c).agg(F.count("*").alias("size_" + c))
+    like = both.join(size(a, "n"), "n").join(size(b, "o"), "o").withColumn("j", F.col("k") / (F.col("size_n") + F.col("size_o") - F.col("k"))).where(F.col("j") >= min_overlap)
+    for_new = like.groupBy("n").agg(F.max(F.struct("j", (-F.col("o")).alias("least"))).alias("m")).select("n", (-F.col("m.least")).alias("o"), F.col("m.j").alias("j"))
+    taken = for_new.groupBy("o").agg(F.max(F.struct("j", (-F.col("n")).alias("least"))).alias("m")).select("o", (-F.col("m.least")).alias("n"))
+    shift = b.agg((F.coalesce(F.max("o"), F.lit(-1)) + 1).alias("shift"))
+    return a.join(taken, "n", "left").crossJoin(F.broadcast(shift)).select("node_id", F.coalesce("o", F.col("n") + F.col("shift")).alias("community_id"))
+
+
+def spectral_embedding(g: PropertyGraph, dimensions: int = 2) -> DataFrame:
+    """(node_id, embedding): the eigenvectors of the normalized Laplacian with the smallest eigenvalues but the first, each with a positive first entry that isn't 0. Sequential: the matrix is dense,
+    so at most 5,000 nodes with edges."""
+    import numpy as np
+
+    edges = {(min(a, b), max(a, b)) for a, b, _ in _local_edges(g) if a != b}
+    nodes = sorted({x for e in edges for x in e})
+    if len(nodes) > 5000:
+        raise ValueError("spectral_embedding takes at most 5000 nodes with edges")
+    place = {x: i for i, x in enumerate(nodes)}
+    w = np.zeros((len(nodes), len(nodes)))
+    for a, b in edges:
+        w[place[a], place[b]] = w[place[b], place[a]] = 1.0
+    scale = 1 / np.sqrt(w.sum(1)) if len(nodes) else np.zeros(0)
+    _, vectors = np.linalg.eigh(np.eye(len(nodes)) - scale[:, None] * w * scale[None, :])
+    own = vectors[:, 1 : 1 + dimensions]
+    for j in range(own.shape[1]):
+        lead = own[np.flatnonzero(np.abs(own[:, j]) > 1e-9)[0], j]
+        own[:, j] *= np.sign(lead)
+    rows = [(x, [float(v) for v in own[i]]) for x, i in place.items()]
+    found = g.spark.createDataFrame(rows, "id long, embedding array<double>")
+    return vertices(g).join(found, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("embedding", F.array(*[F.lit(0.0)] * dimensions)).alias("embedding"))
+
+
+def hilbert_code(x: Column, y: Column, levels: int = 8) -> Column:
+    """Place of a cell (x, y) on the Hilbert curve over a grid of 2^levels times 2^levels."""
+    d = F.lit(0).cast("long")
+    for level in reversed(range(levels)):
+        side = 1 << level
+        rx = F.when(x.bitwiseAND(side) > 0, 1).otherwise(0)
+        ry = F.when(y.bitwiseAND(side) > 0, 1).otherwise(0)
+        d = d + F.lit(side * side).cast("long") * (3 * rx).bitwiseXOR(ry)
+        # the quadrant is turned, so that the curve goes on where it left
+        fx = F.when((ry == 0) & (rx == 1), F.lit(side - 1) - x.bitwiseAND(side - 1)).otherwise(x.bitwiseAND(side - 1))
+        fy = F.when((ry == 0) & (rx == 1), F.lit(side - 1) - y.bitwiseAND(side - 1)).otherwise(y.bitwiseAND(side - 1))
+        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
+    return d
+
+
+def hilbert_features(g: PropertyGraph, levels: int = 8) -> DataFrame:
+    """(node_id, degree_code, rank_code): in and out degree, and degree and clustering, each scaled to the grid by the largest value and read along a Hilbert curve, so that nodes of like
+    structure have near codes."""
+    r = Rounds(g.spark)
+    d, c = degree_centrality(g), clustering_coefficient(g)
+    base = r.keep(d.join(c, "node_id").select("node_id", F.ln1p("in_degree").alias("i"), F.ln1p("out_degree").alias("o"), F.ln1p("total_degree").alias("t"), F.col("coefficient").alias("c")))
+    top = base.agg(*[F.max(x).alias("top_" + x) for x in "iotc"])
+    cell = lambda x: F.when(F.col("top_" + x) > 0, F.floor(F.col(x) / F.col("top_" + x) * ((1 << levels) - 1))).otherwise(0).cast("int")
+    cells = r.keep(base.crossJoin(F.broadcast(top)).select("node_id", *[cell(x).alias(x) for x in "iotc"]))
+    return cells.select("node_id", hilbert_code(F.col("i"), F.col("o"), levels).alias("degree_code"), hilbert_code(F.col("t"), F.col("c"), levels).alias("rank_code"))
+
+
+def personalized_pagerank(g: PropertyGraph, seeds: DataFrame, damping: float = 0.85, max_iterations: int = 50, tolerance: float = 1e-8, least: float = 1e-6, budget: int = 50) -> DataFrame:
+    """(node_id, score) of the `budget` nodes that walks from the seeds (id) reach most, from `least` on."""
+    found = pagerank(g, damping, max_iterations, tolerance, seeds)
+    return found.where(F.col("score") >= least).orderBy(F.col("score").desc(), "node_id").limit(budget)

@@ -37,7 +37,12 @@ PROCEDURES: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {
     "articulation_points": (A.articulation_points, []),
     "bridges": (A.bridges, []),
     "kcore": (A.kcore, ["k"]),
-    "subgraph.khop": (lambda g, center, k=1: A.khop(g, center, k)[0], ["center", "k"]),
+    "subgraph.khop": (
+        lambda g, center, k=1, rel_types=None, max_neighbors_per_hop=0: A.khop(g, center, k, rel_types, max_neighbors_per_hop)[0], ["center", "k", "rel_types", "max_neighbors_per_hop"],
+    ),
+    "leiden": (A.leiden, ["resolution"]),
+    "spectral_embedding": (A.spectral_embedding, ["dimensions"]),
+    "hilbert_features": (A.hilbert_features, ["levels"]),
     "similarity.topk": (A.similarity_topk, ["node", "k", "metric"]),
 }
 
@@ -61,6 +66,12 @@ def call(graph: PropertyGraph, name: str, args: list[Any]) -> DataFrame:
         return graph.property_keys()
     if low.endswith("procedures"):
         return graph.spark.createDataFrame([(n, ", ".join(p)) for n, (_, p) in sorted(PROCEDURES.items())], "name string, parameters string")
+    own = graph.procedures.get(low)
+    if own is not None:
+        names, text = own
+        return graph.query(text, **dict(zip(names, args, strict=True)))
+    if low in ("cognitive.metrics", "cognitive.scores"):
+        return graph.spark.createDataFrame([(n,) for n in sorted(graph.scores)], "score string")
     found = next((n for n in (low, low.split(".", 1)[-1]) if n in PROCEDURES), None)
     if found is None:
         raise ValueError(f"no procedure {name}")

@@ -12,14 +12,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..functions.aggregate import AGGREGATES, DISTINCT
+from ..functions.registry import USER_FUNCTIONS
 from ..graph import PropertyGraph, label_test
-from .parser import EdgePattern, NodePattern, PathPattern, Query, SyntaxProblem, parse
+from .parser import EdgePattern, GroupPattern, NodePattern, PathPattern, Query, SyntaxProblem, parse
 
 #: Hops that an open upper bound adds to the lower one.
 OPEN_HOPS = 10
@@ -59,7 +60,9 @@ def used_names(x: Any, out: set[str] | None = None) -> set[str]:
     elif isinstance(x, Query):
         used_names(x.clauses, out)
     elif isinstance(x, PathPattern):
-        used_names(x.items, out)
+        used_names([x.items, x.others], out)
+    elif isinstance(x, GroupPattern):
+        used_names([x.inner, x.where], out)
     elif isinstance(x, (NodePattern, EdgePattern)):
         out.add(x.var)
         used_names([x.props, x.where], out)
@@ -89,6 +92,10 @@ class Builder:
     def run(self, tree: Any) -> DataFrame:
         if isinstance(tree, Query):
             return self.query(tree, State(None)).df
+        if tree[0] in ("explain", "profile"):
+            from .explain import explained, profiled
+
+            return (explained if tree[0] == "explain" else profiled)(self.run(tree[1]))
         op, every, left, right = tree
         a = self.run(left)
         if op == "next":
@@ -133,7 +140,7 @@ class Builder:
             elif kind == "load":
                 state = self.load(state, *clause[1:])
             else:
-                raise SyntaxProblem(f"{kind} changes the graph: use quillgraph.operators.mutation.execute")
+                raise SyntaxProblem(f"{kind} changes the graph: use graph.execute")
         return state
 
     def _needed(self, q: Query) -> set[str]:
@@ -156,7 +163,9 @@ class Builder:
             elif isinstance(x, Query):
                 walk(x.clauses)
             elif isinstance(x, PathPattern):
-                walk(x.items)
+                walk([x.items, x.others])
+            elif isinstance(x, GroupPattern):
+                walk([x.inner, x.where])
             elif isinstance(x, (NodePattern, EdgePattern)):
                 if x.props or x.where is not None:
                     out.add(x.var)
@@ -252,14 +261,17 @@ class Builder:
         return self.filter(state, node.where)
 
     def path(self, state: State, p: PathPattern) -> State:
+        if p.others:
+            return self.alternatives(state, p)
         if p.shortest:
             return self.shortest(state, p)
         if p.var:
             self.needed |= {x.var for x in p.items if isinstance(x, EdgePattern)}
+        grouped = any(isinstance(x, GroupPattern) for x in p.items)
         # Start where a variable is bound already, if there is one.
         items = list(p.items)
         nodes = items[::2]
-        start = next((i for i, n in enumerate(nodes) if n.var in state.vars), 0)
+        start = 0 if grouped else next((i for i, n in enumerate(nodes) if n.var in state.vars), 0)
         state = self.bind_node(state, nodes[start])
         for i in range(start, len(nodes) - 1):
             state = self.step(state, nodes[i], items[2 * i + 1], nodes[i + 1], p.mode)
@@ -269,6 +281,55 @@ class Builder:
             state = self.path_value(state, p)
         return state
 
+    def alternatives(self, state: State, p: PathPattern) -> State:
+        """The union of paths; variables that one of them lacks are null in its rows. `|` keeps a row once, `|+|` as often as it is found."""
+        first = PathPattern(p.items, p.var, p.mode, p.shortest)
+        found = [self.path(state, x) for x in [first, *p.others]]
+        named = [c for s in found for v, b in s.vars.items() if not v.startswith("_anon") for c in b_cols(b, v)]
+        keep = list(dict.fromkeys(named))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.df.select(*[F.col(f"`{c}`") for c in keep if c in s.df.columns]) for s in found])
+        vars_ = {v: b for s in reversed(found) for v, b in s.vars.items() if not v.startswith("_anon")}
+        return State(df if p.every else df.distinct(), vars_)
+
+    def group(self, state: State, a: NodePattern, g: GroupPattern, b: NodePattern, mode: str) -> State:
+        """A quantified path, unrolled: for each number of repetitions a chain of joins with the condition inside each of them."""
+        high = g.high if g.high is not None else g.low + OPEN_HOPS
+        columns = list(state.df.columns)
+        out: list[State] = []
+        chain = state
+        here = a
+        if g.low == 0:
+            at = self.fresh("at")
+            same = State(state.df.withColumn(at, F.col(f"`{state.vars[a.var].props['id']}`")), state.vars)
+            out.append(self.bind_node(same, b, at))
+        for turn in range(1, high + 1):
+            names = {x.var: self.fresh(f"turn{turn}_") for x in g.inner.items}
+            first = g.inner.items[0]
+            names[first.var] = here.var
+            self.needed |= set(names.values())
+            swap = lambda e: _renamed_all(e, names)  # noqa: B023, E731
+            own = [type(x)(**{**vars(x), "var": names[x.var], "props": {k: swap(v) for k, v in x.props.items()}, "where": swap(x.where)}) for x in g.inner.items]
+            if chain.vars[here.var].props.keys() == {"id"}:  # a node that was only passed through until now
+                full = NodePattern(self.fresh("full"))
+                self.needed.add(full.var)
+                at = self.fresh("at")
+                chain = self.bind_node(State(chain.df.withColumn(at, F.col(f"`{chain.vars[here.var].props['id']}`")), chain.vars), full, at)
+                names[first.var] = full.var
+                own[0] = type(first)(**{**vars(own[0]), "var": full.var, "props": {k: _renamed_all(v, names) for k, v in first.props.items()}, "where": _renamed_all(first.where, names)})
+            chain = self.node_tests(chain, own[0], label_too=True)
+            for i in range(1, len(own), 2):
+                chain = self.step(chain, own[i - 1], own[i], own[i + 1], mode)
+            chain = self.filter(chain, _renamed_all(g.where, names))
+            here = own[-1]
+            if turn >= g.low:
+                at = self.fresh("at")
+                end = State(chain.df.withColumn(at, F.col(f"`{chain.vars[here.var].props['id']}`")), chain.vars)
+                out.append(self.bind_node(end, b, at))
+        vars_ = {**state.vars, b.var: out[0].vars[b.var]}
+        keep = list(dict.fromkeys([*columns, *b_cols(vars_[b.var], b.var)]))
+        df = reduce(lambda x, y: x.unionByName(y), [s.df.select(*[F.col(f"`{c}`") for c in keep]) for s in out])
+        return State(df, vars_)
+
     def edge_table(self, edge: EdgePattern, extra: bool) -> DataFrame:
         """(from, to, edge columns); both directions of an undirected step, so a loop counts twice."""
         table = self.graph.edge_scan(edge.types)
@@ -278,6 +339,8 @@ class Builder:
         return {"out": ahead, "in": back, "both": ahead.unionByName(back)}[edge.direction]
 
     def step(self, state: State, a: NodePattern, edge: EdgePattern, b: NodePattern, mode: str, turned: bool = False) -> State:
+        if isinstance(edge, GroupPattern):
+            return self.group(state, a, edge, b, mode)
         if edge.low is not None or edge.high is not None:
             return self.many_steps(state, a, edge, b, mode, turned)
         here = F.col(f"`{state.vars[a.var].props['id']}`")
@@ -394,24 +457,36 @@ class Builder:
             return state, e
         if e and e[0] in ("exists", "countsub", "valuesub", "patcomp"):
             return self.subvalue(state, e)
+        if len(e) == 4 and e[0] == "func" and e[1] in self.graph.scores and len(e[2]) == 1 and e[2][0][0] == "var":
+            return self.score(state, e[1], e[2][0][1])
         out = []
         for x in e:
             state, y = self.lift(state, x)
             out.append(y)
         return state, tuple(out)
 
+    def score(self, state: State, name: str, var: str) -> tuple[State, tuple]:
+        """The value that a table of scores has for a node; null if it has none."""
+        table, own = self.graph.scores[name], self.fresh("score")
+        value = next(c for c in table.columns if c != "node")
+        named = table.select(F.col("node").alias(own + "n"), F.col(value).alias(own))
+        df = state.df.join(named, F.col(f"`{state.vars[var].props['id']}`") == F.col(own + "n"), "left").drop(own + "n")
+        return State(df, {**state.vars, own: Bound("value")}), ("var", own)
+
     def subvalue(self, state: State, e: tuple) -> tuple[State, tuple]:
         q, name = e[1], self.fresh("sub")
+        if e[0] == "valuesub":
+            return self.scalar_subquery(state, q, name)
+        last = q.clauses[-1] if q.clauses else None
+        if e[0] in ("exists", "countsub") and last and last[0] == "project" and not last[2] and last[6][2] is None and not any(has_aggregate(x) for x, _ in last[3]):
+            q = Query(q.clauses[:-1])  # what a row holds doesn't matter, only that it is there
         keys = [v for v in state.vars if v in used_names(list(e[1:]))]
-        inner = self.query(q, self.correlated(state, keys))
+        inner = self.query(self._carrying(q, keys) if e[0] != "patcomp" else q, self.correlated(state, keys))
         by = [c for k in keys for c in self.identity(state, k)]
         grouped = inner.df.groupBy(*[F.col(f"`{c}`") for c in by])
         if e[0] == "patcomp":
             inner, c = self.value(inner, e[2])
             result = inner.df.groupBy(*[F.col(f"`{c_}`") for c_ in by]).agg(F.collect_list(c).alias(name))
-        elif e[0] == "valuesub":
-            own = [c for c in inner.df.columns if c not in by]
-            result = grouped.agg(F.first(F.col(f"`{own[-1]}`")).alias(name))
         else:
             result = grouped.agg(F.count("*").alias(name))
         vars_ = {k: state.vars[k] for k in keys} | {name: Bound("value")}
@@ -425,6 +500,21 @@ class Builder:
             v = ("func", "coalesce", [v, ("list", [])], False)
         return out, v
 
+    def scalar_subquery(self, state: State, q: Query, name: str) -> tuple[State, tuple]:
+        """VALUE { }: the value of the one row, null without a row. If there are several, the smallest."""
+        last = q.clauses[-1] if q.clauses else None
+        if not last or last[0] != "project" or len(last[3]) != 1:
+            raise SyntaxProblem("VALUE { } returns one value")
+        renamed = Query([*q.clauses[:-1], (*last[:3], [(last[3][0][0], name)], *last[4:])])
+        if state.df is None:
+            state = State(self.graph.spark.range(1).select(F.lit(1).alias("_unit")), state.vars)
+        keys = [v for v in state.vars if v in used_names(renamed)]
+        inner, lone = self.inner_rows(state, keys, renamed)
+        if not lone:
+            by = [c for k in keys for c in self.identity(state, k)]
+            inner = State(inner.df.groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.min(name).alias(name)), {k: state.vars[k] for k in keys} | {name: Bound("value")})
+        return self.attach_filled(state, inner, keys, lone, optional=True), ("var", name)
+
     def with_value(self, state: State, name: str, e: tuple) -> State:
         state = state if state.df is not None else State(self.graph.spark.range(1).select(F.lit(1).alias("_unit")), state.vars)
         state, c = self.value(state, e)
@@ -551,11 +641,70 @@ class Builder:
         )
 
     def subquery(self, state: State, optional: bool, scope: list[str] | None, inner_query: Query) -> State:
+        """CALL { }: the inner rows of each outer row. An inner query that only aggregates has one row for each outer row, also where nothing matched."""
         if state.df is None:
             return self.query(inner_query, State(None))
         keys = [v for v in state.vars if v in (scope if scope is not None else used_names(inner_query))]
-        inner = self.query(self._carrying(inner_query, keys), self.correlated(state, keys))
-        return self.attach(state, inner, keys, "left" if optional else "inner")
+        inner, lone = self.inner_rows(state, keys, inner_query)
+        return self.attach_filled(state, inner, keys, lone, optional)
+
+    def inner_rows(self, state: State, keys: list[str], q: Query) -> tuple[State, dict[str, tuple]]:
+        """Rows of an inner query with the variables it was given, and, if it only aggregates, the expression of each column over no rows.
+
+        Its ORDER BY, SKIP and LIMIT hold for each outer row by itself.
+        """
+        last = q.clauses[-1] if q.clauses else None
+        if not last or last[0] != "project" or not keys:
+            carried = self._carrying(q, keys)
+            lone = self.over_nothing(last) if last and last[0] == "project" else {}
+            return self.query(carried, self.correlated(state, keys)), lone if keys else {}
+        page, lone = last[6], self.over_nothing(last)
+        order, skip, limit = page
+        cut = skip is not None or limit is not None
+        plain = Query([*q.clauses[:-1], (*last[:5], None if lone else last[5], ([], None, None))])
+        inner = self.query(self._carrying(plain, keys), self.correlated(state, keys))
+        if cut and not lone:
+            named = {a: e for e, a in last[3]}
+            x = Expression(self, inner)
+            by = [F.col(f"`{c}`") for k in keys for c in self.identity(inner, k)]
+            within = Window.partitionBy(*by).orderBy(*([_order_key(x.column(_swap(e, _by_text([(e2, a) for a, e2 in named.items()]))), d, n) for e, d, n in order] or [F.lit(1)]))
+            first = int(self.constant(skip)) if skip is not None else 0
+            place = F.col("_place")
+            df = inner.df.withColumn("_place", F.row_number().over(within)).where(place > first)
+            df = df.where(place <= first + int(self.constant(limit))) if limit is not None else df
+            inner = State(df.drop("_place"), inner.vars)
+        if lone and last[5] is not None:
+            lone = {**lone, "_where": last[5]}
+        return inner, lone
+
+    def over_nothing(self, project: tuple) -> dict[str, tuple]:
+        """For a projection of aggregates only: each column's expression with counts 0, lists empty and all other aggregates null. Else empty."""
+        _, _, _, items, group, _, _ = project
+        if group is not None or not any(has_aggregate(e) for e, _ in items):
+            return {}
+
+        def empty(e: Any) -> Any:
+            if isinstance(e, tuple) and e and e[0] == "func" and e[1] in AGGREGATES:
+                return ("lit", 0) if e[1] in ("count", "regr_count") else ("list", []) if e[1] in ("collect", "collect_list") else ("lit", None)
+            if isinstance(e, tuple):
+                return tuple(empty(x) for x in e)
+            return [empty(x) for x in e] if isinstance(e, list) else e
+
+        filled = {a: empty(e) for e, a in items}
+        return {} if any(used_names(e) for e in filled.values()) else filled
+
+    def attach_filled(self, state: State, inner: State, keys: list[str], lone: dict[str, tuple], optional: bool) -> State:
+        where = lone.pop("_where", None) if lone else None
+        if not lone:
+            return self.attach(state, inner, keys, "left" if optional else "inner")
+        hit = self.fresh("hit")
+        out = self.attach(state, State(inner.df.withColumn(hit, F.lit(True)), {**inner.vars, hit: Bound("value")}), keys, "left")
+        for a, e in lone.items():
+            c = F.col(f"`{a}`")
+            filled = F.array().cast(out.df.schema[a].dataType) if e == ("list", []) else Expression(self, out).column(e).cast(out.df.schema[a].dataType)
+            out = State(out.df.withColumn(a, F.when(F.col(hit), c).otherwise(filled)), out.vars)
+        out = State(out.df.drop(hit), {v: b for v, b in out.vars.items() if v != hit})
+        return self.filter(out, where)
 
     def _carrying(self, q: Query, keys: list[str]) -> Query:
         """The query with the outer variables kept through its projections."""
@@ -599,6 +748,14 @@ def _renamed(e: Any, old: str, new: str) -> Any:
     return [_renamed(x, old, new) for x in e] if isinstance(e, list) else e
 
 
+def _renamed_all(e: Any, names: dict[str, str]) -> Any:
+    if isinstance(e, tuple):
+        return ("var", names[e[1]]) if len(e) == 2 and e[0] == "var" and e[1] in names else tuple(_renamed_all(x, names) for x in e)
+    if isinstance(e, dict):
+        return {k: _renamed_all(v, names) for k, v in e.items()}
+    return [_renamed_all(x, names) for x in e] if isinstance(e, list) else e
+
+
 def _by_text(items: list) -> dict[str, tuple]:
     return {repr(e): ("var", name) for e, name in items}
 
@@ -822,6 +979,19 @@ class Expression:
             if name == "properties":
                 return F.struct(*[F.col(f"`{c}`").alias(p) for p, c in own.items()])
             return F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(p)) for p, c in sorted(own.items())]))
+        if name == "properties" and args[0][0] != "var":
+            return self.column(args[0])  # a map is its own properties
+        if name == "duration" and args[0][0] == "map":
+            given = {k: self.column(v).cast("double") for k, v in args[0][1].items()}
+            total = lambda units: reduce(lambda a, b: a + b, [given[u] * n for u, n in units.items() if u in given], F.lit(0.0))
+            nanos = total({"hours": 3.6e12, "minutes": 6e10, "seconds": 1e9, "milliseconds": 1e6, "microseconds": 1e3, "nanoseconds": 1})
+            return F.struct(
+                total({"years": 12, "months": 1}).cast("long").alias("months"), total({"weeks": 7, "days": 1}).cast("long").alias("days"), nanos.cast("long").alias("nanos")
+            )
+        if name in ("session_user", "current_user"):
+            return F.call_function("current_user")
+        if name in ("current_graph", "current_schema"):
+            return F.lit(getattr(self.b.graph, "name", "default"))
         if name in ("size", "length", "cardinality"):
             t = self.type_of(args[0])
             x = self.column(args[0])
@@ -843,6 +1013,8 @@ class Expression:
             return F.round(self.column(args[0]), args[1][1])
         if name == "string_join":
             return F.call_function("array_join", self.column(args[0]), self.column(args[1]))
+        if name in USER_FUNCTIONS:
+            return USER_FUNCTIONS[name](*[self.column(a) for a in args])
         if name not in S.FUNCTIONS:
             raise SyntaxProblem(f"unknown function {name}")
         return S.FUNCTIONS[name](*[self.column(a) for a in args])
@@ -862,7 +1034,10 @@ class Expression:
             columns[0] = columns[0].try_cast("double")
         if name in ("group_concat", "listagg") and len(args) > 1:
             columns[1] = args[1][1]
-        return (DISTINCT if distinct else AGGREGATES)[name](*columns)
+        forms = DISTINCT if distinct else AGGREGATES
+        if name not in forms:
+            raise SyntaxProblem(f"{name} has no DISTINCT form")
+        return forms[name](*columns)
 
 
 def used_labels(e: tuple) -> list[str]:

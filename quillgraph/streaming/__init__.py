@@ -1,0 +1 @@
+"""Change feeds as Structured Streaming queries."""
