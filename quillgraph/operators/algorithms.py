@@ -695,17 +695,21 @@ def spectral_embedding(g: PropertyGraph, dimensions: int = 2) -> DataFrame:
 
 def hilbert_code(x: Column, y: Column, levels: int = 8) -> Column:
     """Place of a cell (x, y) on the Hilbert curve over a grid of 2^levels times 2^levels."""
-    d = F.lit(0).cast("long")
-    for level in reversed(range(levels)):
-        side = 1 << level
-        rx = F.when(x.bitwiseAND(side) > 0, 1).otherwise(0)
-        ry = F.when(y.bitwiseAND(side) > 0, 1).otherwise(0)
-        d = d + F.lit(side * side).cast("long") * (3 * rx).bitwiseXOR(ry)
+    start = F.struct(F.lit(0).cast("long").alias("d"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    def step(a: Column, side: Column) -> Column:
+        rx = F.when(a.x.bitwiseAND(side) > 0, 1).otherwise(0)
+        ry = F.when(a.y.bitwiseAND(side) > 0, 1).otherwise(0)
+        inner_x, inner_y = a.x.bitwiseAND(side - 1), a.y.bitwiseAND(side - 1)
         # the quadrant is turned, so that the curve goes on where it left
-        fx = F.when((ry == 0) & (rx == 1), F.lit(side - 1) - x.bitwiseAND(side - 1)).otherwise(x.bitwiseAND(side - 1))
-        fy = F.when((ry == 0) & (rx == 1), F.lit(side - 1) - y.bitwiseAND(side - 1)).otherwise(y.bitwiseAND(side - 1))
-        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-    return d
+        flip = (ry == 0) & (rx == 1)
+        fx, fy = F.when(flip, side - 1 - inner_x).otherwise(inner_x), F.when(flip, side - 1 - inner_y).otherwise(inner_y)
+        return F.struct(
+            (a.d + side.cast("long") * side * (3 * rx).bitwiseXOR(ry)).cast("long").alias("d"),
+            F.when(ry == 0, fy).otherwise(fx).cast("int").alias("x"), F.when(ry == 0, fx).otherwise(fy).cast("int").alias("y"),
+        )
+
+    return F.aggregate(F.array(*[F.lit(1 << n) for n in reversed(range(levels))]), start, step).getField("d")
 
 
 def hilbert_features(g: PropertyGraph, levels: int = 8) -> DataFrame:
@@ -713,7 +717,7 @@ def hilbert_features(g: PropertyGraph, levels: int = 8) -> DataFrame:
     structure have near codes."""
     r = Rounds(g.spark)
     d, c = degree_centrality(g), clustering_coefficient(g)
-    base = r.keep(d.join(c, "node_id").select("node_id", F.ln1p("in_degree").alias("i"), F.ln1p("out_degree").alias("o"), F.ln1p("total_degree").alias("t"), F.col("coefficient").alias("c")))
+    base = r.keep(d.join(c, "node_id").select("node_id", F.log1p("in_degree").alias("i"), F.log1p("out_degree").alias("o"), F.log1p("total_degree").alias("t"), F.col("coefficient").alias("c")))
     top = base.agg(*[F.max(x).alias("top_" + x) for x in "iotc"])
     cell = lambda x: F.when(F.col("top_" + x) > 0, F.floor(F.col(x) / F.col("top_" + x) * ((1 << levels) - 1))).otherwise(0).cast("int")
     cells = r.keep(base.crossJoin(F.broadcast(top)).select("node_id", *[cell(x).alias(x) for x in "iotc"]))

@@ -146,7 +146,8 @@ def bm25(df: DataFrame, text: str, query: str, id_: str = "id", k1: float = 1.2,
     asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count("*").alias("times"))
     # Only the query's tokens leave the scan: a row of counts for each text, one for each of them.
     words = [r.token for r in asked.select("token").collect()]
-    hits = F.array(*[F.struct(F.lit(w).alias("token"), F.size(F.filter("t", lambda x, w=w: x == w)).cast("long").alias("tf")) for w in words])
+    times_of = lambda w: F.size(F.filter("t", lambda x: x == F.lit(w))).cast("long")
+    hits = F.array(*[F.struct(F.lit(w).alias("token"), times_of(w).alias("tf")) for w in words])
     if not words:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
     tf = rows.select("id", "len", F.explode(F.filter(hits, lambda h: h.tf > 0)).alias("h")).select("id", "len", "h.token", "h.tf").join(F.broadcast(asked), "token")

@@ -99,7 +99,7 @@ def _named(graph: PropertyGraph | GraphCatalog, name: str | None) -> PropertyGra
 def create_property_graph(catalog: GraphCatalog, text: str) -> DataFrame:
     """Register a graph over tables or views of the session of the same names.
 
-    A node table names its key by PRIMARY KEY; an edge table its ends by the first two columns with REFERENCES. Other columns are properties. Ids of nodes are made of the
+    A node table names its key by PRIMARY KEY; an edge table its ends by the first two columns with REFERENCES. Other columns are properties, but for `id`, which is the id. Ids of nodes are made of the
     table's place and the key, so equal keys of different tables stay apart.
     """
     head = re.match(r"\s*CREATE\s+PROPERTY\s+GRAPH\s+(\w+)", text, re.IGNORECASE)
@@ -117,7 +117,7 @@ def create_property_graph(catalog: GraphCatalog, text: str) -> DataFrame:
         key = next((c.split()[0] for c in columns if re.search(r"PRIMARY\s+KEY", c, re.IGNORECASE)), columns[0].split()[0])
         names = [c.split()[0] for c in columns]
         place[name.lower()], key_of[name.lower()] = i, key
-        nodes[name] = node_table(spark.table(name).select(*names), name, _global_id(i, F.col(key)), **{c: c for c in names})
+        nodes[name] = node_table(spark.table(name).select(*names), name, _global_id(i, F.col(key)), **({c: c for c in names if c not in ("id", "labels")} or {"key": F.col(key)}))
     for i, (name, columns) in enumerate(parts["EDGE"]):
         ends = [(c.split()[0], m[1].lower()) for c in columns if (m := re.search(r"REFERENCES\s+(\w+)", c, re.IGNORECASE))]
         if len(ends) < 2 or any(t not in place for _, t in ends[:2]):

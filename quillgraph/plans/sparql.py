@@ -1097,7 +1097,9 @@ class TripleStore:
             return self._with(self.triples.unionByName(made).distinct() if kind == "insert data" else self._less(made))
         if kind == "modify":
             rows = b.group(step[3])
-            gone, new = b.instantiated(rows, step[1]), b.instantiated(rows, step[2])
+            # What goes and comes is computed once, from the store as it was, and is small beside the store.
+            rounds = Rounds(self.spark)
+            gone, new = (rounds.keep(b.instantiated(rows, t)) for t in step[1:3])
             left = self._less(gone) if step[1] else self.triples
             return self._with(left.unionByName(new).distinct() if step[2] else left)
         if kind == "create":

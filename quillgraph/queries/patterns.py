@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.tables import star_graph, strong_trades, trade_graph
+from ..sources.tables import star_graph, trade_graph
 from .registry import text
 
 P = lambda name, source, sql, **params: text(name, star_graph, source, sql, **params)
@@ -74,10 +74,21 @@ P("pattern_comprehension", "MATCH (n:Nation) RETURN n.key AS key, size([(n)<-[:F
 """)
 P("call_subquery", """
     MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:FROM_NATION]-(c:Customer) RETURN count(c) AS customers, max(c.acctbal) AS most } RETURN n.name AS nation, customers, most
-""", "SELECT n_name AS nation, count(*) AS customers, max(c_acctbal) AS most FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+""", "SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey) AS most FROM nation")
+P("call_aggregate_empty", """
+    MATCH (c:Customer) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 350000 RETURN count(o) AS large, sum(o.total) AS worth } RETURN c.key AS key, large, worth
+""", """SELECT c_custkey AS key, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) AS large,
+    (SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) AS worth FROM customer""")
+P("call_rows_limited", """
+    MATCH (c:Customer) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) RETURN o.key AS key, o.total AS total ORDER BY total DESC, key LIMIT 2 } RETURN c.key AS customer, key, total
+""", """SELECT o_custkey AS customer, o_orderkey AS key, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2""")
+P("value_subquery", """
+    MATCH (c:Customer) RETURN c.key AS key, VALUE { MATCH (c)-[:PLACED]->(o:Order) WHERE o.status = 'O' RETURN max(o.total) } AS most
+""", "SELECT c_custkey AS key, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS most FROM customer")
 P("optional_call", """
     MATCH (c:Customer) OPTIONAL CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 350000 RETURN count(o) AS large } RETURN c.key AS key, large
-""", "SELECT c_custkey AS key, nullif(count(o_orderkey), 0) AS large FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 350000 GROUP BY 1")
+""", "SELECT c_custkey AS key, count(o_orderkey) AS large FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 350000 GROUP BY 1")
 P("unwind_ordinality", "FOR x IN ['a', 'b', 'c'] WITH ORDINALITY i RETURN x, i", "SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 2), ('c', 3)) t(x, i)")
 P("unwind_offset", "FOR x IN range(10, 4, -2) WITH OFFSET i RETURN x, i", "SELECT * FROM (VALUES (10::BIGINT, 0::BIGINT), (8, 1), (6, 2), (4, 3)) t(x, i)")
 P("agg_basic", "MATCH (o:Order) RETURN o.priority AS priority, count(*) AS n, min(o.total) AS low, max(o.total) AS high, round(avg(o.total)) AS mean", """
@@ -170,12 +181,12 @@ P("next_composition", "MATCH (c:Customer)-[:PLACED]->(o) RETURN c.mktsegment AS
 P("cross_join", "MATCH (a:Region), (b:Region) WHERE a.key < b.key RETURN a.name AS a, b.name AS b", "SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
 P("map_projection", "MATCH (n:Nation) WITH n{.key, .name, twice: n.key * 2} AS m RETURN m.key AS key, m.name AS name, m.twice AS twice", "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_nationkey AS BIGINT) * 2 AS twice FROM nation")
 
-S = lambda name, source, sql, **params: text(name, strong_trades, source, sql, **params)
-#: The sparse graph of the path queries as a common table expression: edges e(s, d).
+S = lambda name, source, sql, **params: text(name, trade_graph, source, sql, **params)
+#: The graph of the path queries as a common table expression: edges e(s, d).
 TRADES = """
     w AS (SELECT CAST(c_nationkey AS BIGINT) AS s, CAST(s_nationkey AS BIGINT) AS d, CAST(round(sum(l_extendedprice), 0) AS BIGINT) AS weight FROM lineitem
       JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-    e AS (SELECT s, d, weight FROM w WHERE s <> d QUALIFY row_number() OVER (PARTITION BY s ORDER BY weight DESC, d) <= 3)
+    e AS (SELECT s, d, weight FROM w)
 """
 S("varlen_1_3_walk", "MATCH (a:Nation)-[:TRADES*1..3]->(b:Nation) RETURN a.id AS a, count(*) AS walks", f"""
     WITH {TRADES}, p1 AS (SELECT s AS a, d AS b FROM e), p2 AS (SELECT a, d AS b FROM p1 JOIN e ON b = s), p3 AS (SELECT a, d AS b FROM p2 JOIN e ON b = s)
@@ -186,7 +197,7 @@ S("varlen_trail", "MATCH TRAIL (a:Nation)-[:TRADES]->{{2,3}}(b:Nation) RETURN a.
     SELECT a, count(*) AS trails FROM p WHERE len(es) >= 2 GROUP BY 1
 """)
 S("varlen_acyclic", "MATCH ACYCLIC (a:Nation)-[:TRADES*1..3]->(b:Nation) RETURN a.id AS a, count(DISTINCT b.id) AS reached, count(*) AS paths", f"""
-    WITH RECURSIVE {TRADES}, p AS (SELECT s AS a, d AS b, [s, d] AS ns FROM e UNION ALL SELECT a, d, list_append(ns, d) FROM p JOIN e ON b = s WHERE len(ns) < 4 AND NOT list_contains(ns, d))
+    WITH RECURSIVE {TRADES}, p AS (SELECT s AS a, d AS b, [s, d] AS ns FROM e WHERE s <> d UNION ALL SELECT a, d, list_append(ns, d) FROM p JOIN e ON b = s WHERE len(ns) < 4 AND NOT list_contains(ns, d))
     SELECT a, count(DISTINCT b) AS reached, count(*) AS paths FROM p GROUP BY 1
 """)
 SHORTEST = f"""WITH RECURSIVE {TRADES}, p AS (SELECT n_nationkey::BIGINT AS a, n_nationkey::BIGINT AS b, 0::BIGINT AS len, 1::BIGINT AS dummy FROM nation

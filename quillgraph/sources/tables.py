@@ -70,11 +70,15 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     )
 
 
-def strong_trades(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Nations and an edge to each of the three nations they buy most from, by weight, then key: a sparse directed graph."""
-    from pyspark.sql import Window
-
-    g = trade_graph(spark, sf_dir)
-    w = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
-    e = g.edges["TRADES"].where("src <> dst").withColumn("_n", F.row_number().over(w)).where("_n <= 3").drop("_n")
-    return PropertyGraph(spark, g.nodes, {"TRADES": e})
+def supply_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Orders, parts and suppliers: CONTAINS and SERVED_BY of order lines, SHIPS between suppliers and parts; each pair once."""
+    star = star_graph(spark, sf_dir)
+    line = read(spark, sf_dir, "lineitem")
+    served = line.select("l_orderkey", "l_suppkey").distinct()
+    contains = line.select("l_orderkey", "l_partkey").distinct()
+    edges = {
+        "CONTAINS": edge_table(contains, "CONTAINS", node_id("Order", "l_orderkey"), node_id("Part", "l_partkey")),
+        "SERVED_BY": edge_table(served, "SERVED_BY", node_id("Order", "l_orderkey"), node_id("Supplier", "l_suppkey")),
+        "SHIPS": star.edges["SHIPS"],
+    }
+    return PropertyGraph(spark, {n: star.nodes[n] for n in ("Order", "Part", "Supplier")}, edges)

@@ -91,4 +91,4 @@ def collected(query: DataFrame, folder: str, mode: str = "append") -> DataFrame:
         lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
     ).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(query.schema.add("batch", "int")).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    return spark.read.schema(T.StructType([*query.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
