@@ -9,8 +9,8 @@ starts earlier (smaller doc_id, or same document and earlier start).
 2. Segments. Around each recurring anchor the words of all windows that picked it are cut out: a segment. Equal windows
    meet in segments of one anchor, so anchors are the shards' keys. A shard holds many anchors with few segments; an anchor with
    more than SPLIT segments is dealt by salt into several groups.
-3. Automata. In each group, windows that occur twice are confirmed on their words and compiled into an automaton; words are
-   mapped to single characters for it. All segments are streamed through it, which locates every occurrence. All but the
+3. Automata. In each group, windows that occur twice in segments that differ are confirmed on their words and compiled into an automaton; words are
+   mapped to single characters for it. All segments are streamed through it, equal ones once, which locates every occurrence. All but the
    first occurrence in a group are later ones.
 4. For anchors dealt into several groups, the first occurrences of each group are compared by window across the groups: counted
    before the shuffle, so no group has to hold a hot passage whole.
@@ -119,83 +119,99 @@ def segments(text: Column, anchors: Column, window: int) -> Column:
 FOUND = "doc_id long, start long, n int, key binary"
 
 
+def recurring_windows(texts: list[str], window: int) -> set[str]:
+    """Windows that stand twice or more in texts of one character a word: found by a hash, confirmed on the characters."""
+    if not texts:
+        return set()
+    whole = "".join(texts)
+    codes = np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64)
+    hashes = gram_hashes(codes, window, seed=37)
+    lengths = np.array([len(t) for t in texts])
+    inside = np.zeros(len(codes) + 1, np.int8)  # places where a window begins and ends in one text
+    begins = np.cumsum(lengths) - lengths
+    np.add.at(inside, begins, 1)
+    np.add.at(inside, begins + np.maximum(lengths - window + 1, 0), -1)
+    places = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int64) > 0)
+    order = places[np.argsort(hashes[places], kind="stable")]
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(codes), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    seen: set[str] = set()
+    twice: set[str] = set()
+    for at in np.flatnonzero(again).tolist():
+        w = whole[at : at + window]
+        (twice if w in seen else seen).add(w)
+    return twice
+
+
 def locate(table: pa.Table, window: int) -> pa.Table:
     """All occurrences of the recurring windows of one group of segments, by an automaton.
 
     In: doc_id, start, words, split. Out: runs of n later windows from a start (key null), and, for segments of anchors that are
-    split over several groups, each first window with a 128-bit key of its words.
+    split over several groups, each first window with a 128-bit key of its words. Equal segments are streamed once: all windows of the
+    second and further ones are later. So the automaton holds the windows that stand twice in what is streamed.
     """
-    doc_ids, starts = table["doc_id"].to_pylist(), table["start"].to_pylist()
-    split = table["split"].to_pylist()
-    texts = [x.split(b" ") for x in table["words"].to_pylist()]
+    doc_ids, starts = table["doc_id"].to_numpy(), table["start"].to_numpy()
+    words, split = table["words"].to_pylist(), table["split"].to_pylist()
+    order = np.lexsort((starts, doc_ids)).tolist()
+    places: dict[bytes, list[int]] = {}  # in order of their first occurrences
+    for i in order:
+        places.setdefault(words[i], []).append(i)
+    doc_ids, starts = doc_ids.tolist(), starts.tolist()
     letters: dict[bytes, str] = {}
-    places: dict[str, list[int]] = {}  # equal segments are streamed once; what is found in one holds for each of them
-    for i, words in enumerate(texts):
-        for w in words:
+    texts = []
+    for text in places:
+        own = text.split(b" ")
+        for w in own:
             if w not in letters:
                 code = FIRST_CHAR + len(letters)
                 letters[w] = chr(code if code < 0xD800 else code + 0x800)  # surrogates are no characters
-        places.setdefault("".join(map(letters.__getitem__, words)), []).append(i)
-    at_ = list(zip(doc_ids, starts, strict=True))
-    for own in places.values():
-        own.sort(key=at_.__getitem__)
-    seen: set[str] = set()
-    twice: set[str] = set()
-    for s in places:
-        for i in range(len(s) - window + 1):
-            w = s[i : i + window]
-            (twice if w in seen else seen).add(w)
-    for s, own in places.items():
-        if len(own) > 1:
-            twice.update(s[i : i + window] for i in range(len(s) - window + 1))
-    later: list[tuple[int, int, int]] = []
-    firsts: list[tuple[int, int, bytes]] = []
+        texts.append("".join(map(letters.__getitem__, own)))
+    twice = recurring_windows(texts, window)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for n, w in enumerate(twice):
         automaton.add_word(w, n)
     if twice:
         automaton.make_automaton()
     first: list[tuple[int, int] | None] = [None] * len(twice)
+    at_doc: list[int] = []
+    at_start: list[int] = []
+    at_n: list[int] = []
+    firsts: list[tuple[int, int, bytes]] = []
+
+    def later(doc: int, start: int, n: int) -> None:
+        at_doc.append(doc)
+        at_start.append(start)
+        at_n.append(n)
 
-    def mark(i: int, hits: list[int]) -> None:
-        """Runs of later windows of a segment."""
-        run = None
-        for at in hits:
-            if run is not None and at == run[0] + run[1]:
-                run[1] += 1
-            else:
-                if run is not None:
-                    later.append((doc_ids[i], starts[i] + run[0], run[1]))
-                run = [at, 1]
-        if run is not None:
-            later.append((doc_ids[i], starts[i] + run[0], run[1]))
-
-    for s, own in sorted(places.items(), key=lambda x: at_[x[1][0]]):
-        found = list(automaton.iter(s)) if twice else []
-        i = own[0]
-        doc, start = at_[i]
+    for (text, own), s in zip(places.items(), texts, strict=True):
+        doc, start = doc_ids[own[0]], starts[own[0]]
         hits = []
-        for end, n in found:
+        for end, n in automaton.iter(s) if twice else ():
             at = end - window + 1
             if first[n] is None:
                 first[n] = (doc, start + at)
             elif first[n] != (doc, start + at):  # a repeated row of the same document is the same occurrence
                 hits.append(at)
-        mark(i, hits)
-        if split[i]:
-            taken = set(hits)
+        run = 0
+        for k, at in enumerate(hits):
+            if k + 1 == len(hits) or hits[k + 1] != at + 1:
+                later(doc, start + hits[run], k - run + 1)
+                run = k + 1
+        if split[own[0]]:
+            taken, parts = set(hits), text.split(b" ")
             for at in range(len(s) - window + 1):
                 if at not in taken:
-                    firsts.append((doc, start + at, xxhash.xxh3_128_digest(b" ".join(texts[i][at : at + window]))))
-        every = [end - window + 1 for end, _ in found]
+                    firsts.append((doc, start + at, xxhash.xxh3_128_digest(b" ".join(parts[at : at + window]))))
+        n = len(s) - window + 1
         for i in own[1:]:
-            if at_[i] != (doc, start):
-                mark(i, every)
+            if doc_ids[i] != doc or starts[i] != start:
+                later(doc_ids[i], starts[i], n)
     return pa.table({
-        "doc_id": pa.array([x[0] for x in later] + [x[0] for x in firsts], pa.int64()),
-        "start": pa.array([x[1] for x in later] + [x[1] for x in firsts], pa.int64()),
-        "n": pa.array([x[2] for x in later] + [1] * len(firsts), pa.int32()),
-        "key": pa.array([None] * len(later) + [x[2] for x in firsts], pa.binary()),
+        "doc_id": pa.array(at_doc + [x[0] for x in firsts], pa.int64()),
+        "start": pa.array(at_start + [x[1] for x in firsts], pa.int64()),
+        "n": pa.array(at_n + [1] * len(firsts), pa.int32()),
+        "key": pa.array([None] * len(at_doc) + [x[2] for x in firsts], pa.binary()),
     })
 
 
