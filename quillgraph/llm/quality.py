@@ -4,9 +4,10 @@ Each line of a text is judged on its own; lines that fail are removed; the docum
 with them, or if the text as a whole breaks a base rule (too few words, too much repetition).
 
 Line rules, in this order, each reported under its name:
-  punctuation  no sentence end anywhere in the line, more than one symbol in ten characters, or most words shouted ("!!")
   navigation   menu separators are at least one word in five
-  boilerplate  a short line with a stock phrase of licences, cookie notices, or site furniture
+  punctuation  more than one symbol in ten characters, more than one "!" or "?" in two words, or mostly capitals
+  boilerplate  a short line with a stock phrase of licences, cookie notices, or site furniture, in English, French, German or Spanish
+  punctuation  no sentence end anywhere in the line
 A line without a word is neither kept nor counted as lost.
 """
 
@@ -25,15 +26,20 @@ from pyspark.sql import types as T
 from .common import WORD_SPACE, StableHashes, gram_hashes
 
 SYMBOLS = "#*$%&|<>"
-SENTENCE_ENDS = (".", "!", "?", "…", "。", "！", "？", "।", "؟", "։")
-CLOSERS = "\"')]}»”’*_"
 SEPARATORS = frozenset(["|", "»", "›", "·", "•", "/", "::", ">", "→"])
-BOILERPLATE = re.compile(
-    r"all rights reserved|licen[sc]ed under|under the [\w .-]{0,40}licen[sc]e|creative commons|cookie|privacy policy"
-    r"|terms of (?:use|service)|javascript|subscribe|newsletter|sign (?:in|up)|log ?in\b|read more|click here|copyright|©",
-    re.IGNORECASE,
-)
-_ENDS_IN_LINE = re.compile(r"[.!?…。！？।؟։][\"')\]}»”’*_]*(?:\s|$)")
+#: Phrases of licence lines, notices and site furniture.
+BOILERPLATE_PHRASES = [
+    "all rights reserved", "licen[sc]ed under", "under the [A-Za-z0-9_ .-]{0,40}licen[sc]e", "creative commons", "cookie", "privacy policy",
+    "terms of (?:use|service)", "javascript", "subscribe", "newsletter", "sign (?:in|up)", "log ?in\\b", "read more", "click here", "copyright", "©",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "s'abonner", "en savoir plus", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "weiterlesen", "hier klicken",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "suscríbete", "leer más", "haga clic",
+]
+BOILERPLATE_PATTERN = "|".join(BOILERPLATE_PHRASES)
+BOILERPLATE = re.compile(BOILERPLATE_PATTERN, re.IGNORECASE)
+SENTENCE_END_PATTERN = "[.!?…。！？।؟։][\"')\\]}»”’*_]*(?:[\\x09-\\x0D ]|$)"
+_ENDS_IN_LINE = re.compile(SENTENCE_END_PATTERN)
+_CAPITALS, _LETTERS = re.compile("[A-Z]"), re.compile("[A-Za-z]")
 
 REPORT = T.StructType(
     [
@@ -66,11 +72,12 @@ class Rules:
 def failed_rule(line: str, words: list[str], rules: Rules) -> str | None:
     """Name of the rule that a line with words breaks, or None."""
     n = len(words)
-    if sum(map(line.count, SYMBOLS)) * 10 > len(line) and sum(w in SEPARATORS for w in words) * 5 < n:
-        return "punctuation"
-    if sum(w in SEPARATORS for w in words) * 5 >= n and n > 2:
+    if n > 2 and 5 * sum(w in SEPARATORS for w in words) >= n:
         return "navigation"
-    if 2 * sum(w.endswith("!!") for w in words) > n:
+    if 10 * sum(map(line.count, SYMBOLS)) > len(line) or 2 * (line.count("!") + line.count("?")) > n:
+        return "punctuation"
+    letters = len(_LETTERS.findall(line)) if any(w.isupper() for w in words) else 0
+    if letters >= 20 and 5 * len(_CAPITALS.findall(line)) > 3 * letters:
         return "punctuation"
     if n <= rules.boilerplate_words and BOILERPLATE.search(line):
         return "boilerplate"
@@ -96,7 +103,7 @@ def repeated_words(words: list[bytes], hashes: np.ndarray, k: int) -> int:
     for i in starts.tolist():
         key = tuple(words[i : i + k])
         seen[key] = seen.get(key, 0) + 1
-    if len(seen) * 2 > len(starts):  # some hash was shared by different windows
+    if min(seen.values()) < 2:  # a window that stands once shares its hash with another
         starts = np.array([i for i in starts.tolist() if seen[tuple(words[i : i + k])] > 1], np.int64)
     edge = np.zeros(len(words) + 1, np.int32)
     np.add.at(edge, starts, 1)
@@ -141,7 +148,8 @@ def report(text: str, rules: Rules, hashes: StableHashes) -> tuple:
 def quality_report(text: Column, rules: Rules = Rules()) -> Column:  # noqa: B008
     """Struct column REPORT for each text; clean_text is what the line rules leave.
 
-    Null and empty texts have no words, fail the base rules, and are rejected with an empty clean_text. Texts are judged
+    The texts are judged once, however many fields are used: the column counts as nondeterministic, so that a filter on one field isn't given a judge
+    of its own. Null and empty texts have no words, fail the base rules, and are rejected with an empty clean_text. Texts are judged
     whole at any length. Equal rows get equal reports; other columns are not looked at.
     """
 
@@ -153,7 +161,7 @@ def quality_report(text: Column, rules: Rules = Rules()) -> Column:  # noqa: B00
             rows = [report(t or "", rules, hashes) for t in batch.to_pylist()]
             yield pa.array([dict(zip(REPORT.names, r, strict=True)) for r in rows], kind)
 
-    return judge(text)
+    return judge.asNondeterministic()(text)
 
 
 _ARROW = {T.LongType: pa.int64(), T.BooleanType: pa.bool_(), T.StringType: pa.string()}
