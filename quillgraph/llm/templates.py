@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 SPACE = r"[ \t\x0b\x0c\r]+"
 FIELD = "<*>"
@@ -47,7 +47,8 @@ def masked(line: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame, tree: Tree) -> DataFrame:
-    """One row for each line with a token: row_id, doc_id, line_no, leaf, template, n_tokens, masked. docs has row_id, doc_id, lines."""
+    """One row for each line with a token: row_id, doc_id, line_no, leaf, template, n_tokens, masked. docs has row_id, doc_id, lines; (doc_id, row_id) tells
+    documents apart."""
     numbered = docs.select(
         "row_id", "doc_id", F.posexplode(F.transform("lines", masked)).alias("line_no", "masked")
     ).where("masked <> ''")
@@ -61,12 +62,13 @@ def parsed_lines(docs: DataFrame, tree: Tree) -> DataFrame:
 
 
 def _documents(forms: DataFrame, key: list[str]) -> DataFrame:
-    """Documents of each key, each counted once, the smallest id, and one place where the key stands. Counted before the shuffles: a key that a third of
+    """Documents of each key, each counted once, and the smallest id. Counted before the shuffles: a key that a third of
     the documents have is one row from each task."""
-    once = forms.groupBy(*key, "row_id").agg(F.min("doc_id").alias("doc_id"), F.min("line_no").alias("line_no"))
-    return once.groupBy(*key).agg(
-        F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.min(F.struct("row_id", "line_no")).alias("at")
-    )
+    return forms.select(*key, "doc_id", "row_id").distinct().groupBy(*key).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+#: So many leaves, 16 bytes each, are broadcast to their lines; more are joined by a shuffle.
+BROADCAST_LEAVES = 1_000_000
 
 
 def clustered(forms: DataFrame, tree: Tree) -> DataFrame:
@@ -103,25 +105,27 @@ def clustered(forms: DataFrame, tree: Tree) -> DataFrame:
     return signed.select("template", "group").join(home.select("group", "general").join(large.select("general"), "general"), "group").select("template", "general")
 
 
-def recurring(lines: DataFrame, texts: DataFrame, tree: Tree) -> DataFrame:
+def recurring(lines: DataFrame, tree: Tree) -> DataFrame:
     """(template, first_doc) of the lines' recurring templates; template as it was before clusters were found.
 
-    lines has no text; where a leaf may have clusters, the text of one line of each template is looked up in texts, by its place.
+    The text of a line is only read where its leaf may have clusters.
     """
     counted = written(_documents(lines, ["leaf", "template"]), "line-templates")
     # Leaves with so many templates that there may be a cluster; only for these the tokens are looked at.
-    mixed = counted.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("docs")).where(
-        (F.col("n") > tree.max_children) & (F.col("docs") >= tree.min_docs)
-    )
-    places = counted.join(mixed.select("leaf"), "leaf", "left_semi").select("at.row_id", "at.line_no")
-    forms = written(
-        parsed_lines(texts, tree).join(places, ["row_id", "line_no"], "left_semi")
-        .select("leaf", "template", "masked", "n_tokens").dropDuplicates(["template"]), "line-forms",
+    mixed = written(
+        counted.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("docs"))
+        .where((F.col("n") > tree.max_children) & (F.col("docs") >= tree.min_docs)).select("leaf"), "line-leaves",
     )
-    general = clustered(forms, tree)
-    general = written(general, "line-general")
+    few = mixed.count() <= BROADCAST_LEAVES
+    forms = written(
+        lines.join(F.broadcast(mixed) if few else mixed, "leaf", "left_semi").select("leaf", "template", "masked", "n_tokens").dropDuplicates(["template"]),
+        "line-forms",
+    )
+    general = written(clustered(forms, tree), "line-general")
+    discard(forms)
+    discard(mixed)
 
-    of_forms = lines.select("template", "row_id", "doc_id", "line_no").join(general, "template")
+    of_forms = lines.select("template", "row_id", "doc_id").join(general, "template")
     joint = _documents(of_forms, ["general"]).where(F.col("n_docs") >= tree.min_docs)
     alone = counted.where(F.col("n_docs") >= tree.min_docs).join(general.select("template"), "template", "left_anti")
     return general.join(joint, "general").select("template", "first_doc").unionByName(alone.select("template", "first_doc"))
@@ -139,19 +143,20 @@ def drop_recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:  #
     split = docs.select(
         F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("rest"),
         F.col("doc_id"),
-        F.xxhash64("doc_id", "text").alias("row_id"),
+        F.xxhash64("text").alias("row_id"),
         F.split("text", "\n", -1).alias("lines"),
     )
-    lines = written(parsed_lines(split, tree).drop("masked", "n_tokens"), "lines")
-    drops = (
-        lines.select("row_id", "doc_id", "line_no", "template").join(recurring(lines, split, tree), "template")
+    lines = written(parsed_lines(split, tree), "lines")
+    drops = written(
+        lines.select("row_id", "doc_id", "line_no", "template").join(recurring(lines, tree), "template")
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .groupBy("row_id").agg(F.collect_set("line_no").alias("drops"))
+        .groupBy(F.col("doc_id").alias("_doc"), F.col("row_id").alias("_row")).agg(F.collect_set("line_no").alias("drops")), "line-drops",
     )
+    discard(lines)
     has_token = lambda x: x.rlike(r"[^ \t\x0b\x0c\r]")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     left = F.filter(F.transform(stay, lambda i: F.get(F.col("lines"), i)), has_token)
-    return split.join(drops, "row_id", "left").select(
+    return split.join(drops, (F.col("row_id") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
         *[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         F.array_join(F.when(F.col("drops").isNull(), F.col("lines")).otherwise(left), "\n").alias("text"),
         F.coalesce(F.size(F.filter("lines", has_token)), F.lit(0)).cast("long").alias("n_lines"),
