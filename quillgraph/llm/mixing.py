@@ -56,29 +56,33 @@ def targets(sources: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def apportion(rows: DataFrame, group: list[str], key: str, weight: str, seats: str, quota: str, most: str, span: int = 4) -> DataFrame:
+def apportion(rows: DataFrame, group: list[str], key: str, weight: str, seats: str, quota: str, most: str) -> DataFrame:
     """Add quota: seats of each group shared among its rows by Sainte-Lague, no row above `most`.
 
-    Rows get the seats that they have in any case (their share less `span`); the candidates for the rest, at most 2 * span
-    + 1 a row, are ranked by quotient, ties by key.
+    With a divisor d a row has floor(weight / d + 1/2) seats. The divisors sum / (seats + n/2) and sum / (seats - n/2), n being the number of rows, give at least and at most all
+    seats, so a row's seats lie between the two and only the seats in between, about one a row, are ranked by quotient, ties by key. Rows
+    that reach `most` at the first divisor are set aside and the others share what they leave; three times, as a row that takes a share of that may reach `most` itself.
     """
     over = Window.partitionBy(*group)
-    share = F.try_divide(F.col(seats) * F.col(weight), F.sum(weight).over(over))
-    sure = F.greatest(F.lit(0), F.least(F.floor(F.coalesce(share, F.lit(0.0))) - span, F.col(most))).cast("long")
-    base = rows.withColumn("_sure", sure).withColumn("_left", F.col(seats) - F.sum("_sure").over(over))
-    seat = (
-        base.where(F.col(weight) > 0)
-        .select(*group, key, "_left", "_sure", most, weight, F.explode(F.sequence(F.lit(0), F.lit(2 * span))).alias("_j"))
-        .where(F.col("_sure") + F.col("_j") < F.col(most))
-    )
-    by_quotient = Window.partitionBy(*group).orderBy(
-        (F.col(weight) / (2 * (F.col("_sure") + F.col("_j")) + 1)).desc(), F.col(key), F.col("_j")
+    w, s, top = F.col(weight).cast("double"), F.col(seats), F.col(most)
+    n = F.sum(F.when(w > 0, 1).otherwise(0)).over(over)
+    low = F.floor(F.coalesce(F.try_divide(w * (s - n / 2), F.sum(w).over(over)), F.lit(0.0)) + 0.5 - 1e-9)
+    base = rows.withColumn("_sure", F.greatest(F.lit(0), F.least(low, top)).cast("long")).withColumn("_full", F.lit(False))
+    for _ in range(3):
+        free = ~F.col("_full") & (w > 0)
+        left = s - F.coalesce(F.sum(F.when(F.col("_full"), top)).over(over), F.lit(0))
+        share = F.try_divide(w * (left + F.sum(F.when(free, 1).otherwise(0)).over(over) / 2), F.sum(F.when(free, w)).over(over))
+        base = base.withColumn("_up", F.floor(F.coalesce(share, F.lit(0.0)) + 0.5 + 1e-9).cast("long"))
+        base = base.withColumn("_full", F.col("_full") | (F.col("_up") > top))
+    base = base.withColumn("_up", F.when(F.col("_full"), top).otherwise(F.least("_up", top)).cast("long"))
+    base = base.withColumn("_left", s - F.sum("_sure").over(over)).drop("_full")
+    seat = base.where((w > 0) & (F.col("_up") > F.col("_sure"))).select(
+        *group, key, "_left", weight, F.explode(F.sequence(F.col("_sure"), F.col("_up") - 1)).alias("_j")
     )
+    by_quotient = Window.partitionBy(*group).orderBy((F.col(weight) / (2 * F.col("_j") + 1)).desc(), F.col(key), F.col("_j"))
     won = seat.withColumn("_n", F.row_number().over(by_quotient)).where(F.col("_n") <= F.col("_left"))
     extra = won.groupBy(*group, key).agg(F.count("*").alias("_extra"))
-    return base.join(extra, [*group, key], "left").withColumn(quota, F.col("_sure") + F.coalesce("_extra", F.lit(0))).drop(
-        "_sure", "_left", "_extra"
-    )
+    return base.join(extra, [*group, key], "left").withColumn(quota, F.col("_sure") + F.coalesce("_extra", F.lit(0))).drop("_sure", "_up", "_left", "_extra")
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), cap: int = 3, shard_docs: int = 4096, seed: int = 17) -> DataFrame:
