@@ -1,14 +1,15 @@
 """Token-id files by an adaptive context-mixing range coder.
 
-Ids are cut into blocks of BLOCK ids. Each block starts from a fresh model and is coded on its own, with a CRC-32 of its ids,
-so a damaged or lost block costs no other. The model of a block predicts the next id three ways: the id that last came after
-the same two ids (order 2), after the same one (order 1), and the id that leads so far (order 0). Every prediction has a
-confidence of 0 to 3. How often each of them was right at its confidence is counted; the counts of the three are added
-up, which mixes their views, and a range coder codes with them which prediction holds, if any. An id that none predicts is
-coded with a falling distribution over the vocabulary. The blocks of a file are coded side by side, one id of each at
-a time, in NumPy arrays.
-
-File: MAGIC; header HEAD; documents (ids, whether they are null, lengths), compressed; a table of the blocks; their 32-bit words.
+Ids are cut into blocks of BLOCK ids. Each block starts from the same model and is coded on its own, with a CRC-32 of its ids, so a damaged or lost block costs no
+other. Four distributions of the next id are mixed: how often ids stand in the file (order 0, a table in the file's head), the ids that the block had most
+lately (order 0 as it goes on), those that came after the same id (order 1) and after the same two (order 2). A context keeps a few ids with counts; ids that
+stay away lose theirs to new ones. The weights of the four depend on how much the contexts have seen; each set of weights learns, id by id, which of the four gave the id
+its probability. The mixture is laid out over the vocabulary in order of ids, and a range coder codes the id's interval in it. All of it is integer arithmetic, but
+for the weights, whose products and quotients are those of IEEE doubles and so the same everywhere. The blocks of a file are coded side by side, one id of each at a time, in
+NumPy arrays.
+
+File: MAGIC; header HEAD; documents (ids, whether they are null, lengths), compressed; the ids of the file with their frequencies, compressed; a table of the blocks; their 32-bit
+words.
 """
 
 from __future__ import annotations
@@ -29,74 +30,99 @@ from pyspark.sql import functions as F
 
 from .common import default_partitions, written
 
-MAGIC, HEAD = b"QCMR0001", struct.Struct("<IIQQQI")
-BLOCK, LANES = 2048, 2048
+MAGIC, HEAD = b"QCMR0002", struct.Struct("<IIQQIIII")
+BLOCK, LANES = 4096, 1024
 #: Ids in a file: its blocks fill all lanes once.
 FILE_IDS = BLOCK * LANES
-HASH2, HASH1 = 11, 10
-STEP, DECAY_EVERY = 24, 128
-PRIOR_BITS = 18
+#: Bits of the context hash and ids a context keeps: orders 2 and 1, and the block's latest ids.
+CONTEXTS = ((12, 2), (11, 4), (0, 8))
+WIDTH = sum(k for _, k in CONTEXTS)
+NOBODY = np.uint32(0xFFFFFFFF)
+GAIN, MOST = 2, 60
+#: The mixture adds up to 2^MIX; the table of order 0 to 2^TABLE, and it never has less than a 64th of the mixture, so each of its ids has an interval.
+MIX, TABLE = 28, 22
+WHOLE = np.uint64(1 << MIX)
 LOW32 = np.uint64(0xFFFFFFFF)
 ONE, SHIFT, NARROW = np.uint64(1), np.uint64(32), np.uint64(1 << 32)
 
 
-@lru_cache(maxsize=2)
-def prior(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, width, id at each point) of the distribution of unpredicted ids: each has one point, the rest falls as 1 / (id + 64)."""
-    whole = 1 << max(PRIOR_BITS, size.bit_length() + 2)
-    weight = 1 / (np.arange(size) + 64.0)
-    width = 1 + np.floor((whole - size) * weight / weight.sum()).astype(np.int64)
-    width[0] += whole - width.sum()
-    start = np.r_[0, np.cumsum(width)[:-1]]
-    return start.astype(np.uint64), width.astype(np.uint64), np.repeat(np.arange(size, dtype=np.uint32), width)
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids that occur, in order; their frequencies, at least 1 each, which add up to 2^TABLE)."""
+    own, n = np.unique(ids, return_counts=True)
+    if not len(own):
+        return own.astype(np.uint32), n.astype(np.uint32)
+    freq = 1 + np.floor(((1 << TABLE) - len(own)) * (n / n.sum())).astype(np.int64)
+    freq[n.argmax()] += (1 << TABLE) - freq.sum()
+    return own.astype(np.uint32), freq.astype(np.uint32)
 
 
 class Model:
-    """The models of many blocks, one a lane."""
-
-    def __init__(self, lanes: int):
-        self.base2, self.base1 = np.arange(lanes) << HASH2, np.arange(lanes) << HASH1
-        self.id2, self.sure2 = np.zeros(lanes << HASH2, np.uint32), np.zeros(lanes << HASH2, np.int8)
-        self.id1, self.sure1 = np.zeros(lanes << HASH1, np.uint32), np.zeros(lanes << HASH1, np.int8)
-        self.id0, self.sure0 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int8)
+    """The models of many blocks, one a lane. Ids are places in the table of the file's ids."""
+
+    def __init__(self, lanes: int, freq: np.ndarray):
+        self.upto = np.r_[0, np.cumsum(freq.astype(np.uint64))].astype(np.uint64)
+        self.share = freq / float(1 << TABLE)
+        # one row for each id that a context keeps: sums over them are then sums of rows
+        self.ids = [np.full((k, lanes << bits), NOBODY, np.uint32) for bits, k in CONTEXTS]
+        self.counts = [np.zeros((k, lanes << bits), np.int16) for bits, k in CONTEXTS]
+        self.base = [np.arange(lanes) << bits for bits, _ in CONTEXTS]
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        # counts[lane, order, confidence, outcome]; outcomes: order 2, 1, 0 right, none
-        self.counts = np.ones((lanes, 3, 4, 4), np.uint32)
-        self.flat = self.counts.reshape(-1)
-        self.lane48 = np.arange(lanes) * 48
-        self.done = 0
-
-    def predict(self, n: int) -> np.ndarray:
-        """Predictions of the first n lanes, for `update`, and the mixed counts (n x 4) of the outcomes."""
+        # weights[lane, how much order 2 and order 1 have seen, distribution]: order 2, 1, latest, table
+        start = np.array([[(0.0, 0.15, 0.35, 0.6)[a], (0.0, 0.1, 0.25, 0.4)[b] * (0.6, 0.5, 0.4, 0.3)[a], 0.05] for a in range(4) for b in range(4)])
+        start = np.c_[start, 1 - start.sum(1)]
+        self.weights = np.ascontiguousarray(np.tile(start, (lanes, 1)).T)
+        self.pace = np.full(lanes * 16, 0.2)
+        self.lane16 = np.arange(lanes) * 16
+        self.lane = np.arange(lanes)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, their shares of the mixture, the table's share) for the first n lanes."""
         last, before = self.last[:n], self.before[:n]
-        self.at1 = self.base1[:n] + ((last * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH1))
-        self.at2 = self.base2[:n] + (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - HASH2))
-        self.p2, self.p1, self.p0 = self.id2[self.at2], self.id1[self.at1], self.id0[:n]
-        self.c2, self.c1, self.c0 = self.sure2[self.at2], self.sure1[self.at1], self.sure0[:n]
-        lane = self.lane48[:n]
-        self.row2, self.row1, self.row0 = lane + self.c2 * 4, lane + (16 + self.c1 * 4), lane + (32 + self.c0 * 4)
-        rows = self.counts.reshape(-1, 4)
-        return rows[self.row2 >> 2] + rows[self.row1 >> 2] + rows[self.row0 >> 2]
-
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(ids == self.p0, 2, 3)))
-
-    def update(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
-        for row in (self.row2, self.row1, self.row0):
-            self.flat[row + outcome] += STEP
-        for table, sure, at, p, c in (
-            (self.id2, self.sure2, self.at2, self.p2, self.c2),
-            (self.id1, self.sure1, self.at1, self.p1, self.c1),
-            (self.id0, self.sure0, slice(0, n), self.p0, self.c0),
-        ):
-            hit = ids == p
-            table[at] = np.where(hit | (c > 0), p, ids)
-            sure[at] = np.where(hit, np.minimum(c + 1, 3), np.maximum(c - 1, 0))
+        h2 = ((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - CONTEXTS[0][0])
+        h1 = (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - CONTEXTS[1][0])
+        self.at = (self.base[0][:n] + h2, self.base[1][:n] + h1, self.base[2][:n])
+        self.own = [ids[:, at] for ids, at in zip(self.ids, self.at, strict=True)]
+        self.seen = [c[:, at] for c, at in zip(self.counts, self.at, strict=True)]
+        self.total = [c.sum(0, dtype=np.int64) for c in self.seen]
+        self.set = self.lane16[:n] + np.minimum((self.total[0] + 3) >> 2, 3) * 4 + np.minimum((self.total[1] + 3) >> 2, 3)
+        self.w = w = self.weights[:, self.set]
+        shares, at = np.empty((WIDTH, n), np.uint64), 0
+        for i, (_, k) in enumerate(CONTEXTS):
+            # a whole unit for each count, so that the parts of a distribution can't add up to more than it has
+            unit = (w[i] * (63 / 64 * (1 << MIX))).astype(np.int64) // np.maximum(self.total[i], 1)
+            np.multiply(unit, self.seen[i], out=shares[at : at + k], casting="unsafe")
+            at += k
+        return np.concatenate(self.own), shares, WHOLE - shares.sum(0)
+
+    def update(self, n: int, token: np.ndarray) -> None:
+        row, gave = self.lane[:n], np.empty((4, n))
+        gave[3] = self.w[3] * self.share[token]
+        for i in range(3):
+            ids, count = self.own[i], self.seen[i]
+            hit = ids == token
+            gave[i] = self.w[i] * ((count * hit).sum(0) / np.maximum(self.total[i], 1))
+            miss = ~hit.any(0)
+            least = count.argmin(0)
+            low = count[least, row]
+            count += hit * np.int16(GAIN)
+            free = miss & (low <= 1)
+            count[least, row] = np.where(free, GAIN, count[least, row] - miss)
+            ids[least, row] = np.where(free, token, ids[least, row])
+            high = count.max(0) > MOST
+            if high.any():
+                count[:, high] >>= 1
+            self.ids[i][:, self.at[i]] = ids
+            self.counts[i][:, self.at[i]] = count
+        pace = self.pace[self.set]
+        gave /= gave[0] + gave[1] + (gave[2] + gave[3])
+        w = self.w
+        w += pace * (gave - w)
+        np.maximum(w, 1e-4, out=w)
+        w /= w[0] + w[1] + (w[2] + w[3])
+        self.weights[:, self.set] = w
+        self.pace[self.set] = np.maximum(pace * 0.9, 0.02)
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-        self.done += 1
-        if self.done % DECAY_EVERY == 0:
-            self.flat[:] = (self.flat + 1) >> 1
+        self.last[:n] = token
 
 
 def _narrowed(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
@@ -110,116 +136,101 @@ def _narrowed(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
     return at
 
 
-def encode_blocks(blocks: list[np.ndarray], size: int) -> list[np.ndarray]:
-    """32-bit words of each block. Blocks are of one length, but for the last, which may be shorter; none is empty."""
+def encode_blocks(blocks: list[np.ndarray], freq: np.ndarray) -> list[np.ndarray]:
+    """32-bit words of each block of places in the table. Blocks are of one length, but for the last, which may be shorter; none is empty."""
     lanes, longest = len(blocks), len(blocks[0])
     ids = np.zeros((longest, lanes), np.uint32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     short = len(blocks[-1])
-    model, (start0, width0, by_point) = Model(lanes), prior(size)
-    points = np.uint64(len(by_point))
+    model = Model(lanes, freq)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     words, filled = np.zeros((lanes, longest // 2 + 8), np.uint32), np.zeros(lanes, np.int64)
 
-    def put(at: np.ndarray, low: np.ndarray, wide: np.ndarray, lane: np.ndarray) -> None:
+    def put(at: np.ndarray, low: np.ndarray, wide: np.ndarray) -> None:
         nonlocal words
         if len(at):
-            of = lane[at]
-            if filled[of].max() + 3 >= words.shape[1]:
+            if filled[at].max() + 3 >= words.shape[1]:
                 words = np.concatenate([words, np.zeros_like(words)], 1)
-            words[of, filled[of]] = low[at] >> SHIFT
-            filled[of] += 1
+            words[at, filled[at]] = low[at] >> SHIFT
+            filled[at] += 1
             low[at] <<= SHIFT
             wide[at] <<= SHIFT
 
-    every = np.arange(lanes)
+    table, upto = np.uint64(TABLE), model.upto
     for t in range(longest):
         n = lanes if t < short else lanes - 1
         token = ids[t, :n]
-        counts = model.predict(n)
-        outcome = model.outcome(token)
-        sums = counts.cumsum(1, dtype=np.uint64)
-        own = counts[every[:n], outcome].astype(np.uint64)
+        own, shares, rest = model.predict(n)
+        begin = (rest * upto[token]) >> table
+        width = ((rest * upto[token + 1]) >> table) - begin + (shares * (own == token)).sum(0)
+        begin += (shares * (own < token)).sum(0)
         l, w = low[:n], wide[:n]
-        unit = w // sums[:, 3]
-        l += unit * (sums[every[:n], outcome] - own)
-        np.multiply(unit, own, out=w)
-        put(_narrowed(l, w), l, w, every)
-        new = np.flatnonzero(outcome == 3)
-        if len(new):
-            l2, w2 = l[new], w[new]
-            unit = w2 // points
-            l2 += unit * start0[token[new]]
-            w2 = unit * width0[token[new]]
-            put(_narrowed(l2, w2), l2, w2, new)
-            l[new], w[new] = l2, w2
-        model.update(n, token, outcome)
+        unit = w >> np.uint64(MIX)
+        l += unit * begin
+        np.multiply(unit, width, out=w)
+        put(_narrowed(l, w), l, w)
+        model.update(n, token)
     for _ in range(2):  # the rest of low
-        put(every, low, wide, every)
+        put(np.arange(lanes), low, wide)
     return [words[i, : filled[i]].copy() for i in range(lanes)]
 
 
-def decode_blocks(words: list[np.ndarray], lengths: list[int], size: int) -> list[np.ndarray]:
+def decode_blocks(words: list[np.ndarray], lengths: list[int], freq: np.ndarray) -> list[np.ndarray]:
     lanes, longest, short = len(words), lengths[0], lengths[-1]
-    model, (start0, width0, by_point) = Model(lanes), prior(size)
-    points = np.uint64(len(by_point))
+    model = Model(lanes, freq)
     table = np.zeros((lanes, max(map(len, words)) + 2), np.uint64)
     for i, w in enumerate(words):
         table[i, : len(w)] = w
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     code, taken = table[:, 0] << SHIFT | table[:, 1], np.full(lanes, 2, np.int64)
     limit = table.shape[1] - 1
-    every = np.arange(lanes)
     ids = np.zeros((longest, lanes), np.uint32)
-
-    def take(at: np.ndarray, low: np.ndarray, wide: np.ndarray, code: np.ndarray, lane: np.ndarray) -> None:
-        if len(at):
-            of = lane[at]
-            code[at] = code[at] << SHIFT | table[of, np.minimum(taken[of], limit)]
-            taken[of] += 1
-            low[at] <<= SHIFT
-            wide[at] <<= SHIFT
-
+    cut, upto = np.uint64(TABLE), model.upto
+    steps = [1 << b for b in reversed(range(max(len(freq) - 1, 0).bit_length()))]
     for t in range(longest):
         n = lanes if t < short else lanes - 1
-        counts = model.predict(n)
-        sums = counts.cumsum(1, dtype=np.uint64)
+        own, shares, rest = model.predict(n)
         l, w, c = low[:n], wide[:n], code[:n]
-        unit = w // sums[:, 3]
-        point = np.minimum((c - l) // unit, sums[:, 3] - ONE)
-        outcome = (point >= sums[:, 0]).astype(np.int64) + (point >= sums[:, 1]) + (point >= sums[:, 2])
-        own = counts[every[:n], outcome].astype(np.uint64)
-        l += unit * (sums[every[:n], outcome] - own)
-        np.multiply(unit, own, out=w)
-        take(_narrowed(l, w), l, w, c, every)
-        token = np.where(outcome == 0, model.p2, np.where(outcome == 1, model.p1, model.p0))
-        new = np.flatnonzero(outcome == 3)
-        if len(new):
-            l2, w2, c2 = l[new], w[new], c[new]
-            unit = w2 // points
-            found = by_point[np.minimum((c2 - l2) // unit, points - ONE)]
-            l2 += unit * start0[found]
-            w2 = unit * width0[found]
-            take(_narrowed(l2, w2), l2, w2, c2, new)
-            l[new], w[new], c[new] = l2, w2, c2
-            token[new] = found
-        model.update(n, token, outcome)
+        unit = w >> np.uint64(MIX)
+        point = np.minimum((c - l) // unit, WHOLE - ONE)
+        # The last place whose interval begins at or before the point.
+        token = np.zeros(n, np.uint32)
+        for step in steps:
+            tried = np.minimum(token + np.uint32(step), np.uint32(len(freq) - 1))
+            begin = ((rest * upto[tried]) >> cut) + (shares * (own < tried)).sum(0)
+            token = np.where(begin <= point, tried, token)
+        begin = (rest * upto[token]) >> cut
+        width = ((rest * upto[token + 1]) >> cut) - begin + (shares * (own == token)).sum(0)
+        begin += (shares * (own < token)).sum(0)
+        l += unit * begin
+        np.multiply(unit, width, out=w)
+        at = _narrowed(l, w)
+        if len(at):
+            c[at] = c[at] << SHIFT | table[at, np.minimum(taken[at], limit)]
+            taken[at] += 1
+            l[at] <<= SHIFT
+            w[at] <<= SHIFT
+        model.update(n, token)
         ids[t, :n] = token
     return [ids[:k, i].copy() for i, k in enumerate(lengths)]
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, size: int) -> bytes:
     """A file of the ids of documents; lengths add up to the number of ids, all below size."""
-    blocks = [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
+    own, freq = frequencies(ids)
+    places = np.searchsorted(own, ids).astype(np.uint32)
+    blocks = [places[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
     coded: list[np.ndarray] = []
     for at in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[at : at + LANES], size)
+        coded += encode_blocks(blocks[at : at + LANES], freq)
     docs = zlib.compress(
         np.array([x or 0 for x in doc_ids], "<i8").tobytes() + bytes(x is None for x in doc_ids) + np.array(lengths, "<i8").tobytes()
     )
-    out = [MAGIC, HEAD.pack(size, BLOCK, len(doc_ids), len(ids), len(docs), len(blocks)), docs]
-    out.append(np.array([(len(b), len(w), zlib.crc32(b.astype("<u4").tobytes())) for b, w in zip(blocks, coded, strict=True)], "<u4").tobytes())
+    table = zlib.compress(np.diff(own.astype("<u4"), prepend=np.uint32(0)).astype("<u4").tobytes() + freq.astype("<u4").tobytes())
+    out = [MAGIC, HEAD.pack(size, BLOCK, len(doc_ids), len(ids), len(docs), len(table), len(blocks), zlib.crc32(docs + table)), docs, table]
+    crcs = [zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes()) for at in range(0, len(ids), BLOCK)]
+    out.append(np.array([(len(b), len(w), crc) for b, w, crc in zip(blocks, coded, crcs, strict=True)], "<u4").tobytes())
     return b"".join([*out, *(w.astype("<u4").tobytes() for w in coded)])
 
 
@@ -227,10 +238,15 @@ def read_file(data: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     """(ids of documents, their lengths, all token ids). A block that fails its checksum is an error that names it."""
     if data[:8] != MAGIC:
         raise ValueError("not a token-id file")
-    size, _, n_docs, n_ids, n_packed, n_blocks = HEAD.unpack_from(data, 8)
+    _, _, n_docs, n_ids, n_packed, n_table, n_blocks, crc = HEAD.unpack_from(data, 8)
     at = 8 + HEAD.size
+    if zlib.crc32(data[at : at + n_packed + n_table]) != crc:
+        raise ValueError("the head is damaged")
     docs = zlib.decompress(data[at : at + n_packed])
     at += n_packed
+    known = np.frombuffer(zlib.decompress(data[at : at + n_table]), "<u4").reshape(2, -1)
+    names, freq = np.cumsum(known[0], dtype=np.uint32), known[1]
+    at += n_table
     keys, null = np.frombuffer(docs, "<i8", n_docs), docs[8 * n_docs : 9 * n_docs]
     lengths = np.frombuffer(docs, "<i8", n_docs, 9 * n_docs).tolist()
     table = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3)
@@ -238,7 +254,7 @@ def read_file(data: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     words = np.split(np.frombuffer(data, "<u4", int(table[:, 1].sum()), at), np.cumsum(table[:, 1])[:-1]) if n_blocks else []
     out: list[np.ndarray] = []
     for i in range(0, n_blocks, LANES):
-        out += decode_blocks(words[i : i + LANES], table[i : i + LANES, 0].tolist(), size)
+        out += [names[b] for b in decode_blocks(words[i : i + LANES], table[i : i + LANES, 0].tolist(), freq)]
     for i, (b, crc) in enumerate(zip(out, table[:, 2].tolist(), strict=True)):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
@@ -247,33 +263,36 @@ def read_file(data: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     return [None if z else k for k, z in zip(keys.tolist(), null, strict=True)], lengths, ids
 
 
-class Tokens(dict):
-    """Ids (uint32 bytes) of the stretches between ASCII white space, which the tokenizer never joins; emptied when it is full."""
+class Tokens:
+    """Ids (uint32 bytes) of the stretches between ASCII white space, which the tokenizer never joins. Two generations of at most `limit` stretches are kept: what is met again moves to
+    the young one, and when that is full the old one is forgotten."""
 
-    def __init__(self, path: str, limit: int = 500_000):
-        super().__init__()
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def learn(self, stretches: set[bytes]) -> None:
-        if len(self) + len(stretches) > self.limit:
-            self.clear()
-        new = list(stretches)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)
-            self.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").encode().split() for t in texts]
-        new = {x for p in parts for x in p if x not in self}
-        if new:
-            if len(self) + len(new) > self.limit:
-                new.update(x for p in parts for x in p)  # what is forgotten must be learnt again
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+        wanted = {x for p in parts for x in p}
+        if len(self.young) + len(wanted) > self.limit:
+            self.old, self.young = self.young, {}
+        new = []
+        for x in wanted:
+            if x not in self.young:
+                found = self.old.get(x)
+                if found is None:
+                    new.append(x)
+                else:
+                    self.young[x] = found
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            self.young.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+        return [b"".join(map(self.young.__getitem__, p)) for p in parts]
 
 
 @lru_cache(maxsize=1)
@@ -343,8 +362,13 @@ _RECORD_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_t
 
 def read_files(files: DataFrame) -> DataFrame:
     """Documents of the files of write_files: RECORDS; start counts the ids of all documents before, in all files; ids are little-endian unsigned 32-bit integers."""
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    placed = written(files.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before")), "id-files")
+    # Files are added up by part first: only one row for each part of the writing job meets in one task.
+    parts = files.groupBy("part").agg(F.sum("ids").alias("ids"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("parts_before"))
+    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.select("part", "path", F.coalesce(F.sum("ids").over(within), F.lit(0)).alias("own_before"))
+    placed = written(own.join(parts, F.col("part") == F.col("_part")).select("path", (F.col("own_before") + F.col("parts_before")).alias("before")), "id-files")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
