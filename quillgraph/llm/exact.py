@@ -7,31 +7,20 @@ bucket by bucket, without a shuffle of it; what is new is appended.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import written
+from .common import WORD_SPACE, written
 
 INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch BIGINT"
 
 
 def text_digest(text: Column) -> Column:
     """SHA-256 (binary) of a text in UTF-8 without the characters [\\x20\\x09-\\x0D]. Null counts as the empty text."""
-
-    @F.arrow_udf(T.BinaryType())
-    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sha = hashlib.sha256
-        for batch in batches:
-            yield pa.array([sha(b"".join((t or "").encode().split())).digest() for t in batch.to_pylist()], pa.binary())
-
-    return digests(text)
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), WORD_SPACE, ""), 256))
 
 
 @dataclass
@@ -84,7 +73,7 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: int = 0) -> DataFrame:
     Of equal texts the row with the most characters, then the smallest doc_id stays; if the index knew the text from an
     earlier batch, none of this batch stays and keep_id is the earlier row's. Texts are equal if they are identical
     without [\\x20\\x09-\\x0D]; null is equal to empty. A row whose id is null can stay only if no other row of its group has
-    an id. Repeated rows with the id that stays are all marked as kept. Empty input gives an empty result and leaves the
+    an id. group_size counts the rows of the batch that brought the text. Repeated rows with the id that stays are all marked as kept. Empty input gives an empty result and leaves the
     index as it is. Other columns of docs are not read.
     """
     rows = written(

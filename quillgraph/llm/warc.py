@@ -188,9 +188,12 @@ def with_roles(pages: DataFrame, least_bytes: int) -> DataFrame:
         .where("_n > 1").drop("_n")
     )
     revisit = F.col("_head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_head"))
-    return rows.join(heads, "_digest", "left").select(
+    # Short pages have no digest and take no part in the join: their nulls would all meet in one task.
+    judged = rows.where("_digest IS NOT NULL").join(heads, "_digest", "left").select(
         "page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("_head")).alias("refers_to")
     )
+    short = rows.where("_digest IS NULL").select("page_id", "url", "html", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
+    return judged.unionByName(short)
 
 
 PACKAGES = "path string, records long, bytes long"
