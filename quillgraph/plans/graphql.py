@@ -180,20 +180,27 @@ def _filtered(df: DataFrame, args: dict[str, Any]) -> DataFrame:
     return df
 
 
-def _paged(df: DataFrame, args: dict[str, Any]) -> DataFrame:
+def _order(args: dict[str, Any]) -> list[tuple[str, bool]]:
+    """(property, whether it falls) of orderBy."""
     low = {k.lower(): v for k, v in args.items()}
     order = low.get("orderby", low.get("order"))
-    if order:
-        pairs = order.items() if isinstance(order, dict) else [(order, "ASC")]
-        df = df.orderBy(*[F.col(k).desc() if str(d).upper() == "DESC" else F.col(k) for k, d in pairs])
+    pairs = order.items() if isinstance(order, dict) else [(order, "ASC")] if order else []
+    return [(k, str(d).upper() == "DESC") for k, d in pairs]
+
+
+def _paged(df: DataFrame, args: dict[str, Any]) -> DataFrame:
+    low = {k.lower(): v for k, v in args.items()}
+    if _order(args):
+        df = df.orderBy(*[F.col(k).desc() if down else F.col(k) for k, down in _order(args)])
     if low.get("skip", low.get("offset")):
         df = df.offset(low.get("skip", low.get("offset")))
     n = low.get("limit", low.get("first"))
     return df if n is None else df.limit(n)
 
 
-def _resolved(graph: PropertyGraph, df: DataFrame, fields: list[Selection]) -> DataFrame:
-    """(id, result): a struct of the fields of each node of df."""
+def _resolved(graph: PropertyGraph, df: DataFrame, fields: list[Selection], keep: list[str] | None = None) -> DataFrame:
+    """(id, result): a struct of the fields of each node of df; with columns of df to keep, under names _o0, _o1, ..."""
+    kept = [F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(keep or [])]
     made: dict[str, Column] = {}
     for f in fields:
         if not f.fields:
@@ -217,7 +224,7 @@ def _resolved(graph: PropertyGraph, df: DataFrame, fields: list[Selection]) -> D
         items = F.coalesce(F.col(f"_n_{f.alias}"), F.array().cast(listed.schema[f"_n_{f.alias}"].dataType))
         first, n = low.get("skip", low.get("offset", 0)), low.get("limit", low.get("first"))
         made[f.alias] = items if n is None and not first else F.slice(items, first + 1, n if n is not None else 2**30)
-    return df.select("id", F.struct(*[c.alias(a) for a, c in made.items()]).alias("result"))
+    return df.select("id", F.struct(*[c.alias(a) for a, c in made.items()]).alias("result"), *kept)
 
 
 def query(graph: PropertyGraph, text: str, variables: dict[str, Any] | None = None) -> DataFrame:
@@ -229,7 +236,11 @@ def query(graph: PropertyGraph, text: str, variables: dict[str, Any] | None = No
     roots = []
     for f in spread(fields, parser.fragments):
         nodes = _filtered(graph.node_scan(("label", _label(graph, f.name))), f.args)
-        roots.append((f, _resolved(graph, _paged(nodes, f.args), f.fields)))
+        order = _order(f.args)
+        found = _resolved(graph, _paged(nodes, f.args), f.fields, [k for k, _ in order])
+        if order:  # joins of what is nested don't keep the order
+            found = found.orderBy(*[F.col(f"_o{i}").desc() if down else F.col(f"_o{i}") for i, (_, down) in enumerate(order)])
+        roots.append((f, found))
     if len(roots) == 1:
         return roots[0][1].select("result.*")
     out = None

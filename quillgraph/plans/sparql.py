@@ -750,20 +750,26 @@ class Builder:
             if e is not None:
                 c, k = Expressions(self, rows).value(e)
                 rows = Rows(rows.df.withColumn(v, c), {**rows.kinds, v: k}, rows.maybe | {v})
+        names = [v for v in rows.kinds if not v.startswith("_")] if items == ["*"] else [v for v, _ in items]
+        kinds, maybe = {v: rows.kinds.get(v, "term") for v in names}, {v for v in names if v in rows.maybe or v not in rows.kinds}
+        shown = [F.col(f"`{v}`") if v in rows.kinds else F.lit(None).cast(TERM).alias(v) for v in names]
+        if distinct and not variables([e for e, _ in mods["order"]]) <= set(names):
+            raise SparqlProblem("with DISTINCT only what is selected can order the rows")
+        if distinct:  # before the order, which it would undo
+            rows = Rows(rows.df.select(*shown).distinct(), kinds, maybe)
+            shown = [F.col(f"`{v}`") for v in names]
         if mods["order"]:
             keys = []
             for e, down in mods["order"]:
                 for c in Expressions(self, rows).order(e):
                     keys.append(c.desc_nulls_last() if down else c.asc_nulls_first())
             rows = Rows(rows.df.orderBy(*keys), rows.kinds, rows.maybe)
-        names = [v for v in rows.kinds if not v.startswith("_")] if items == ["*"] else [v for v, _ in items]
-        df = rows.df.select(*[F.col(f"`{v}`") if v in rows.kinds else F.lit(None).cast(TERM).alias(v) for v in names])
-        df = df.distinct() if distinct else df
+        df = rows.df.select(*shown)
         if mods["offset"]:
             df = df.offset(mods["offset"])
         if mods["limit"] is not None:
             df = df.limit(mods["limit"])
-        return Rows(df, {v: rows.kinds.get(v, "term") for v in names}, {v for v in names if v in rows.maybe or v not in rows.kinds})
+        return Rows(df, kinds, maybe)
 
     def aggregate(self, rows: Rows, mods: dict, items: list) -> tuple[Rows, Any]:
         x, by, kinds, maybe = Expressions(self, rows), [], {}, set()
