@@ -152,12 +152,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit) -> tuple[list[np
     # The sample is bounded by fit.sample_rows, so it may be broadcast; it brings no text with it.
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "toxic", indexes(F.col("text")).alias("features")).dropDuplicates(["doc_id"]).toArrow()
+        # of repeated ids with different texts the text with the smallest hash, so that reruns agree
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        .select("doc_id", "toxic", indexes(F.col("text")).alias("features")).toArrow()
     ).sort_by("doc_id")
     return [np.asarray(x, np.int64) for x in rows["features"].to_pylist()], np.array(rows["toxic"].to_pylist(), bool)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:  # noqa: B008
+    """Model fitted on at most fit.sample_rows rows of labels (doc_id, toxic) that have a document in docs (doc_id, text).
+
+    The labels only say yes or no; toxic texts are dealt into grades by how many telling features they have, features that the model sees too, so the severity
+    above grade 1 says how many signs of toxicity a text has, not what a person thought of it. Null labels and ids are left out; null and empty texts have no
+    features; of repeated ids one text counts, always the same. Without labels, or with labels of one kind, every text gets the same small severity. Other columns
+    are not read.
+    """
     rows, toxic = training_rows(docs, labels, fit)
     return fit_ordinal(rows, severity_grades(rows, toxic, fit.grades), fit)
 
@@ -194,7 +203,11 @@ def expected_severity(text: Column, model: Model) -> Column:
 
 
 def grade(docs: DataFrame, model: Model, cut: float = 0.45) -> DataFrame:
-    """doc_id, expected_severity, severity (nearest grade) and toxic (expected_severity >= cut) for each row of docs (doc_id, text)."""
+    """doc_id, expected_severity, severity (nearest grade) and toxic (expected_severity >= cut) for each row of docs (doc_id, text).
+
+    Repeated rows, and rows without an id, are graded each by itself; null and empty texts get the severity of a text without evidence; an empty table gives an
+    empty result. Other columns are not read.
+    """
     return docs.select("doc_id", expected_severity(F.col("text"), model).alias("expected_severity")).select(
         "doc_id",
         "expected_severity",

@@ -321,3 +321,77 @@ def test_warc_packages(spark):
     reader = warc.ZipReader(pa.BufferReader(other.getvalue()))
     assert reader.read("a.txt") == b"hello" and reader.read("b.bin", 3, 4) == b"3456"
     assert warc.read_packages(warc.write_packages(df.limit(0), shared_folder(spark, "test-warc"))).count() == 0
+
+
+def test_severity_is_the_sum_of_threshold_probabilities(spark):
+    fit = toxicity.Fit(sample_rows=200)
+    rows = [(i, "filler words here " + " ".join(["idiot", "moron", "trash"][: i % 4]) + f" number{i % 17}") for i in range(200)]
+    docs = spark.createDataFrame([*rows, (0, "another text of this id"), (None, "idiot")], "doc_id long, text string").withColumn("toxic", F.lit(7)).withColumn("severity", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in rows], "doc_id long, toxic int")
+    model, again = toxicity.train(docs, labels, fit), toxicity.train(docs.repartition(3), labels, fit)
+    assert (model.weights == again.weights).all() and (model.thresholds == again.thresholds).all()
+    got = toxicity.grade(docs, model).collect()
+    assert len(got) == 202
+    memo = toxicity._FeatureMemo(fit)
+    want = {}
+    for i, t in rows[1:]:
+        score = sum(model.weights[f] for f in set(toxicity.features(t, memo)))
+        want[i] = sum(1 / (1 + np.exp(thr - score)) for thr in model.thresholds)
+    assert {r.doc_id: r.expected_severity for r in got if r.doc_id} == pytest.approx(want)
+    assert want[3] > want[1] > want[4]
+
+
+def test_line_templates_against_plain_python(spark):
+    r = random.Random(8)
+    pool = [" ".join(r.choice(WORDS) for _ in range(r.randrange(1, 7))) + r.choice(["", " 7", " a1b", "\t9"]) for _ in range(60)]
+    rows = [(i, "\n".join(r.choice(["", " ", *pool, *pool]) for _ in range(r.randrange(0, 12)))) for i in range(40)]
+    rows += [(41, None), rows[3]]
+
+    def form(line):
+        return tuple("<*>" if any(c in "0123456789" for c in w) else w for w in line.replace("\t", " ").split(" ") if w)
+
+    first = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if form(line):
+                first.setdefault(form(line), set()).add(i)
+    want = {}
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        drops = [x for x in lines if form(x) and len(first[form(x)]) > 1 and i != min(first[form(x)])]
+        left = t if not drops else "\n".join(x for x in lines if form(x) and x not in drops)
+        want[i] = (sum(1 for x in lines if form(x)), len(drops), left)
+    tree = templates.Tree(max_children=10**6)
+    got = {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), tree).collect()}
+    assert got == want
+
+
+def test_apportionment_is_sainte_lague(spark):
+    r = random.Random(2)
+    for weights, seats, most in (([10_000.0, *[0.6] * 200], 10_100, [20_000] * 201), ([r.random() * 50 for _ in range(30)], 400, [r.randrange(5, 40) for _ in range(30)]), ([3.0, 2.0, 0.0], 0, [9] * 3)):
+        left, want = seats, [0] * len(weights)
+        while left and any(n < m and w > 0 for n, m, w in zip(want, most, weights, strict=True)):
+            best = max((i for i in range(len(weights)) if want[i] < most[i] and weights[i] > 0), key=lambda i: (weights[i] / (2 * want[i] + 1), -i))  # noqa: B023
+            want[best] += 1
+            left -= 1
+        df = spark.createDataFrame([(0, i, w, seats, m) for i, (w, m) in enumerate(zip(weights, most, strict=True))], "g int, k int, w double, seats long, most long")
+        got = {x.k: x.quota for x in mixing.apportion(df, ["g"], "k", "w", "seats", "quota", "most").collect()}
+        assert [got[i] for i in range(len(weights))] == want
+
+
+def test_coder_beats_order_zero_and_names_damage():
+    r = np.random.default_rng(3)
+    after = r.integers(0, 3000, (3000, 4))
+    ids = [1]
+    for _ in range(60_000):
+        ids.append(int(after[ids[-1], r.integers(0, 4)]) if r.random() < 0.8 else int(r.integers(0, 3000)))
+    ids = np.array(ids, np.uint32)
+    data = idfiles.file_bytes([1, None], [len(ids) - 5, 5], ids, 49_408)
+    n = np.bincount(ids) / len(ids)
+    assert 8 * len(data) / len(ids) < -(n[n > 0] * np.log2(n[n > 0])).sum() + 1.5
+    keys, lengths, back = idfiles.read_file(data)
+    assert keys == [1, None] and lengths == [len(ids) - 5, 5] and (back == ids).all()
+    broken = bytearray(data)
+    broken[-3000] ^= 255
+    with pytest.raises(ValueError, match="damaged"):
+        idfiles.read_file(bytes(broken))

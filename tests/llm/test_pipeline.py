@@ -12,7 +12,7 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).toPandas(), docs.schema)
         assert docs.columns == COLUMNS
-        assert all(r.n_chars == len(r.text) for r in docs.collect())
+        assert all(r.n_chars == len(r.text or "") for r in docs.collect())
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] > 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
@@ -28,3 +28,19 @@ def test_quality_stage_is_the_rules(spark):
             want[r.doc_id] = q[-1]
     assert {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} == want
     assert templates.Tree().min_docs > 1
+
+
+def test_stages_on_nulls_repeats_and_no_rows(spark):
+    good = "This is a plain sentence about a garden. It has flowers and trees, and a path to the river and the sea."
+    rows = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "a", 0), (None, good + " Once more.", "en", None, 1), (4, "x " * 5000 + ".", "en", "b", 2)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            n = out.count()
+            assert docs.isEmpty() <= (n == 0)
+            assert name == "tokenize" or out.columns == COLUMNS
+    kept = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, kind), "")
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # texts are judged once
