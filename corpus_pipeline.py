@@ -1,6 +1,6 @@
 """The corpus pipeline: quality rules, line dedup, near dedup, source mixing, tokenization.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. An empty table gives an empty result in all of them.
 """
 
 from __future__ import annotations
@@ -21,32 +21,35 @@ def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, less the lines that fail."""
+    """Documents that the rules keep, less the lines that fail. Null and empty texts go; repeated rows are judged alike."""
     tune(spark)
     judged = docs.withColumn("_report", quality.quality_report(F.col("text"))).where("_report.kept")
     return with_text(judged.withColumn("text", F.col("_report.clean_text")), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their recurring lines; a document of which all lines stand in earlier documents goes."""
+    """Documents less their recurring lines; a document of which all lines stand in earlier documents goes. Null and empty texts stay as they are; rows with equal id and text are
+    one document."""
     left = templates.drop_recurring_lines(docs)
     return with_text(left.where("NOT (n_dropped > 0 AND text = '')"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more. Texts without words, null ones too, and rows without an id stay; repeated rows of an id
+    stay or go together."""
     tune(spark)
     goes = neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_goes")).distinct()
     return docs.join(goes, F.col("doc_id") == F.col("_goes"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as they are taken whole, and once more the words taken beyond that."""
+    """The mix of sources: documents as often as they are taken whole, and once more the words taken beyond that. Texts without words are never taken; the null source is one of
+    the sources; repeated rows are one row of the pool with the shares of all of them."""
     return mixing.mixed_documents(docs, mixing.mix(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, as a digest, and that of the bytes they decode to."""
+    """Token ids of each text, as a digest, and that of the bytes they decode to. Null counts as empty; repeated rows give equal rows."""
     tune(spark)
     ids = docs.select("doc_id", "source", bpe.encode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
     both = ids.withColumn("decoded", bpe.decode(F.col("ids"), RANKS, public_tokenizers.PATTERN))
