@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             ),
             "cc-labels",
         )
+        discard(labels)
         if step.where("component <> was").isEmpty():
+            discard(both)
             return step.select("node", "component")
         labels = step.select("node", "component")

@@ -6,12 +6,14 @@
    signature is cut into m chunks; with m (r + 1) > D, two signatures within D have a chunk with at most r = 1 errors. So
    every chunk is indexed m times less one value: for each value left out, one key of the rest. Two signatures within D
    share a key, whatever they are.
-3. Members of a key are first held against one hub, the smallest id, so a key with n members makes n - 1 pairs. Pairs
-   within D and of fitting sizes are confirmed on the full sets, and components are formed.
+3. A key's hub is its smallest id. Each set is first held against one hub, that of most of its keys, so n sets make fewer than n pairs.
+   Pairs within D and of fitting sizes are confirmed on the full sets, and components are formed.
 4. Where a key still has members of several components, these are compared by signature in blocks; of the pairs within D only
-   a forest is kept, which says what belongs to one cluster. The full sets of a cluster are then brought together in
+   a forest is kept, which says what belongs to one cluster. A pair is looked at only at the first key that the two signatures
+   share, and of keys with the same members only the first is compared, so a pair comes out once. The full sets of a cluster are then brought together in
    blocks, all pairs of different components in them are counted as a product of incidence matrices, and only a forest of
-   the links comes out. So no link is lost, and the rows made stay in proportion to the members, not to their pairs.
+   the links comes out. So no link is lost. Rows that come out of blocks are in proportion to the members; what goes into them is not: a key of
+   n members is read ceil(n / BLOCK) times, a cluster of b bytes of sets ceil(b / UNIT_BYTES) times, and the comparisons within grow with the square.
 """
 
 from __future__ import annotations
@@ -27,15 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import StableHashes, default_partitions, gram_hashes, mix, multipliers, written
+from .common import StableHashes, default_partitions, discard, gram_hashes, mix, multipliers, written
 from .components import connected_components
 
 VALUES, BITS = 64, 16
 #: Further values, of 8 bits, that are only compared: all VALUES + MORE of them tell a pair's similarity apart more sharply.
 MORE = 192
 WIDTH = 2 * VALUES + MORE
-#: Members of a key, and sets of a cluster, that are compared in one task, at most twice as many.
-BLOCK, SETS = 512, 2048
+#: Members of a key, sets of a cluster and bytes of these sets that are compared in one task, at most about twice as many.
+BLOCK, SETS, UNIT_BYTES = 4096, 2048, 32_000_000
+#: So many ids, 8 bytes each, are broadcast to the texts that belong to them; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -130,7 +134,7 @@ def full_sets(text: Column, k: int) -> Column:
 
 
 def chunk_keys(signature_: Column, plan: Plan) -> Column:
-    """All keys of a signature: for each value, in order, a key of the rest of its chunk."""
+    """All keys of a signature: for each value, in order, a key of the rest of its chunk. The last six bits are the place of the value left out."""
     chunks = plan.chunks
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -144,13 +148,23 @@ def chunk_keys(signature_: Column, plan: Plan) -> Column:
             for chunk in chunks:
                 whole = terms[:, chunk].sum(1, dtype=np.uint64)
                 for j in chunk:
-                    out[:, j] = mix(whole - terms[:, j] + tags[j]).view(np.int64)
+                    out[:, j] = (mix(whole - terms[:, j] + tags[j]) & ~np.uint64(VALUES - 1) | np.uint64(j)).view(np.int64)
             flat = pa.array(out.reshape(-1), pa.int64())
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * VALUES, pa.int32()), flat)
 
     return keys(signature_)
 
 
+def first_shared(differ: np.ndarray, chunks: list[np.ndarray]) -> np.ndarray:
+    """Place left out by the first key that two signatures share, for each row of a table of the values that differ; VALUES if they share none."""
+    first = np.full(len(differ), VALUES)
+    for chunk in reversed(chunks):
+        own = differ[:, chunk]
+        n = own.sum(1)
+        first = np.where(n == 0, chunk[0], np.where(n == 1, chunk[own.argmax(1)], first))
+    return first
+
+
 def close_signatures(a: Column, b: Column, plan: Plan) -> Column:
     """Whether two signatures are within both distances."""
 
@@ -188,19 +202,26 @@ def within_distance(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFra
 
 def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """(a, b, linked) for pairs of ids, on the full sets of their texts. A text moves only if a pair needs it."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node")
-        .select("node", full_sets(F.col("text"), plan.words).alias("members")), "sets",
-    )
+    needed = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "needed")
+    sets = written(texts_of(docs, needed).select("node", full_sets(F.col("text"), plan.words).alias("members")), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}"))
     counted = pairs.join(side("a"), "a").join(side("b"), "b").select(
         "a", "b", common_members(F.col("m_a"), F.col("m_b")).alias("both"),
         F.floor((F.octet_length("m_a") + F.octet_length("m_b")) / 8).alias("sum"),
     )
-    return written(
+    links = written(
         counted.select("a", "b", (100 * F.col("both") >= plan.percent * (F.col("sum") - F.col("both"))).alias("linked")), "links"
     )
+    discard(sets)
+    discard(needed)
+    return links
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text, ...) of the documents of a written table of nodes. Few nodes go to the texts; only if they are many, the texts are shuffled."""
+    few = nodes.count() <= BROADCAST_IDS
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    return rows.join(F.broadcast(nodes) if few else nodes, "node")
 
 
 UNIT_PAIRS = "a long, b long"
@@ -223,12 +244,15 @@ class Forest:
 
 
 def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs within D that share a key and lie in different components, compared in blocks of keys that have several
-    components; of each block a forest that connects what its pairs connect."""
+    """(a, b): what pairs within D, that share a key and lie in different components, connect. They are compared in blocks of keys that have several components; of each block
+    the rows are a forest of stars, and a is the smallest id of its star."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Keys with the same members are told by two sums of hashes; of these the one that leaves out the first value stays. A pair's first
+    # shared key is always among those that stay, as the pair shares all keys with these members.
     apart = placed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
-    ).where("low <> high")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("y"),
+    ).where("low <> high").groupBy("n", "x", "y").agg(F.min_by("key", F.col("key").bitwiseAND(VALUES - 1)).alias("key")).select("key", "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     units = (
         placed.join(apart, "key")
@@ -242,13 +266,13 @@ def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame,
     )
     parts = default_partitions(members.sparkSession)
     dealt = units.repartition(parts, "key", "u", "v").sortWithinPartitions("key", "u", "v")
-    near_most, all_most, percent = plan.distance, plan.total_distance, plan.percent
+    near_most, all_most, percent, chunks = plan.distance, plan.total_distance, plan.percent, plan.chunks
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list[dict]) -> list[tuple[int, int]]:
-            u, v = rows[0]["u"], rows[0]["v"]
+            u, v, place = rows[0]["u"], rows[0]["v"], rows[0]["key"] & (VALUES - 1)
             left = [r for r in rows if r["block"] == u]
             right = left if u == v else [r for r in rows if r["block"] == v]
-            found: list[tuple[int, int]] = []
             if not left or not right:
                 return []
             both = left if u == v else left + right
@@ -267,10 +291,18 @@ def candidate_forest(members: DataFrame, labels: DataFrame, classes: DataFrame,
                 mine, mine2 = values_of([r["signature"]])
                 differ = table[at] != mine
                 near = differ.sum(1)
-                total = near + (more[at] != mine2).sum(1)
-                for j in forest.join(i, at[(near <= near_most) & (total <= all_most)] + shift):
-                    found.append((min(r["node"], both[j]["node"]), max(r["node"], both[j]["node"])))
-            return found
+                close = np.flatnonzero(near <= near_most)
+                close = close[near[close] + (more[at[close]] != mine2).sum(1) <= all_most]
+                close = close[first_shared(differ[close], chunks) == place]
+                forest.join(i, at[close] + shift)
+            # Each tree as a star around its smallest id: trees of other keys around the same id then come out as the same rows.
+            nodes = np.array([r["node"] for r in both], np.int64)
+            order = np.lexsort((nodes, forest.labels))
+            labels, nodes = forest.labels[order], nodes[order]
+            root = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+            tree = np.repeat(nodes[root], np.diff(np.r_[root, len(nodes)]))
+            apart_ = nodes != tree
+            return list(zip(tree[apart_].tolist(), nodes[apart_].tolist(), strict=True))
 
         rows: list[dict] = []
         unit = None
@@ -308,15 +340,28 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_in_clusters(forest: DataFrame, labels: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+def in_slices(rows: list[dict], most_bytes: int = 4_000_000) -> Iterator[tuple[int, list[dict]]]:
+    """(place of the first, rows) of runs of sets with at most so many bytes, or one set, and at most 256 sets."""
+    at, held = 0, 0
+    for i, r in enumerate(rows):
+        if i > at and (held + len(r["members"]) > most_bytes or i - at == 256):
+            yield at, rows[at:i]
+            at, held = i, 0
+        held += len(r["members"])
+    if rows:
+        yield at, rows[at:]
+
+
+def links_in_clusters(forest: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """(a, b): of each block of a cluster a forest of the links between its components, confirmed on the full sets."""
     spark = docs.sparkSession
     clusters = connected_components(forest)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).select(
-        F.col("component").alias("cluster"), F.ceil(F.col("n") / SETS).cast("int").alias("blocks")
+    sizes = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum(8 * F.col("n")).alias("bytes")).select(
+        F.col("component").alias("cluster"), F.ceil(F.greatest(F.col("n") / SETS, F.col("bytes") / UNIT_BYTES)).cast("int").alias("blocks")
     )
     placed = clusters.select("node", F.col("component").alias("cluster")).join(sizes, "cluster").join(labels, "node", "left")
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node")
+    placed = written(placed, "placed")
+    rows = texts_of(docs, placed)
     sets = written(
         rows.select("cluster", "blocks", "node", F.coalesce("component", "node").alias("component"), full_sets(F.col("text"), plan.words).alias("members")),
         "cluster-sets",
@@ -334,12 +379,12 @@ def links_in_clusters(forest: DataFrame, labels: DataFrame, docs: DataFrame, pla
             right = left if u == v else sorted((r for r in rows if r["block"] == v), key=lambda r: r["node"])
             places, out = left if u == v else left + right, []
             forest, shift = Forest(np.array([r["component"] for r in places], np.int64)), len(places) - len(right)
-            for i in range(0, len(left), 256):
-                a = left[i : i + 256]
+            for i, a in in_slices(left):
                 sets_a = [np.frombuffer(r["members"], np.uint64) for r in a]
                 n_a = np.array([len(x) for x in sets_a])
-                for j in range(i if u == v else 0, len(right), 256):
-                    b = right[j : j + 256]
+                for j, b in in_slices(right):
+                    if u == v and j < i:
+                        continue
                     sets_b = [np.frombuffer(r["members"], np.uint64) for r in b]
                     n_b = np.array([len(x) for x in sets_b])
                     both = common_counts(sets_a, sets_b).astype(np.int64)
@@ -363,7 +408,10 @@ def links_in_clusters(forest: DataFrame, labels: DataFrame, docs: DataFrame, pla
         if held:
             yield _pair_batch(of(held))
 
-    return dealt.mapInArrow(confirm, UNIT_PAIRS).distinct()
+    links = written(dealt.mapInArrow(confirm, UNIT_PAIRS).distinct(), "cluster-links")
+    for done in (sets, placed):
+        discard(done)
+    return links
 
 
 def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -395,13 +443,23 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(keyed.join(shared, "key").select("key", "node", "hub"), "members")
 
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(written(within_distance(pairs, classes, plan), "pairs"), docs, plan)
+    # One hub for each node: the one it shares the most keys with. What other hubs would have joined, the forest joins.
+    shares = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = shares.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("least"))).alias("best"))
+    pairs = best.select((-F.col("best.least")).alias("a"), F.col("node").alias("b"))
+    pairs = written(within_distance(pairs, classes, plan), "pairs")
+    links = confirmed(pairs, docs, plan)
+    discard(pairs)
     labels = connected_components(links.where("linked"))
     forest = written(candidate_forest(members.drop("hub"), labels, classes, plan), "forest")
+    discard(members)
     if not forest.isEmpty():
-        more = links_in_clusters(forest, labels, docs, plan)
-        labels = connected_components(links.where("linked").select("a", "b").unionByName(written(more, "links")))
+        more = links_in_clusters(forest, labels, classes, docs, plan)
+        discard(labels)
+        labels = connected_components(links.where("linked").select("a", "b").unionByName(more))
+        discard(more)
+    discard(forest)
+    discard(links)
 
     with_class = known.join(classes.select("set_key", "node"), "set_key", "left")
     return with_class.join(labels, "node", "left").select(
