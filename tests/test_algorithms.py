@@ -255,3 +255,8 @@ def test_subscriptions_outlive_a_failing_handler(spark, tmp_path):
     stream = feed.change_stream(spark, str(tmp_path / "in"), df.schema)
     feed.listen(feed.subscribed(stream, ["created"], ["A"]), {"bad": bad, "good": lambda b, n: seen.extend(r.node for r in b.collect())}, str(tmp_path / "state"), once=True).awaitTermination()
     assert seen == [1]
+
+
+def test_fingerprints_tell_surroundings_apart(spark):
+    at = dict(rows(C.fingerprint(plain(spark, [(1, 2), (3, 4), (5, 6), (6, 7)], [8]))))
+    assert at[1] == at[3] and at[2] == at[4] and len({at[1], at[2], at[5], at[6], at[7], at[8]}) == 6
