@@ -76,9 +76,9 @@ P("call_subquery", """
     MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:FROM_NATION]-(c:Customer) RETURN count(c) AS customers, max(c.acctbal) AS most } RETURN n.name AS nation, customers, most
 """, "SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey) AS most FROM nation")
 P("call_aggregate_empty", """
-    MATCH (c:Customer) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 350000 RETURN count(o) AS large, sum(o.total) AS worth } RETURN c.key AS key, large, worth
+    MATCH (c:Customer) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 350000 RETURN count(o) AS large, round(sum(o.total), 2) AS worth } RETURN c.key AS key, large, worth
 """, """SELECT c_custkey AS key, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) AS large,
-    (SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) AS worth FROM customer""")
+    (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) AS worth FROM customer""")
 P("call_rows_limited", """
     MATCH (c:Customer) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) RETURN o.key AS key, o.total AS total ORDER BY total DESC, key LIMIT 2 } RETURN c.key AS customer, key, total
 """, """SELECT o_custkey AS customer, o_orderkey AS key, o_totalprice AS total FROM orders JOIN customer ON o_custkey = c_custkey
