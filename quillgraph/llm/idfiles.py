@@ -30,25 +30,33 @@ from pyspark.sql import functions as F
 
 from .common import default_partitions, written
 
-MAGIC, HEAD = b"QCMR0002", struct.Struct("<IIQQIIII")
+MAGIC, HEAD = b"QCMR0003", struct.Struct("<IIQQIIII")
 BLOCK, LANES = 4096, 1024
 #: Ids in a file: its blocks fill all lanes once.
 FILE_IDS = BLOCK * LANES
 #: Bits of the context hash and ids a context keeps: orders 2 and 1, and the block's latest ids.
 CONTEXTS = ((12, 2), (11, 4), (0, 8))
 WIDTH = sum(k for _, k in CONTEXTS)
-NOBODY = np.uint32(0xFFFFFFFF)
+ROWS = (slice(0, 2), slice(2, 6), slice(6, 14))
+#: An id and its count share 31 bits, the count above the id; so the least of a context's ids is the least number.
+ID_BITS = 25
+ID, UNIT = np.int32((1 << ID_BITS) - 1), np.int32(1 << ID_BITS)
 GAIN, MOST = 2, 60
 #: The mixture adds up to 2^MIX; the table of order 0 to 2^TABLE, and it never has less than a 64th of the mixture, so each of its ids has an interval.
 MIX, TABLE = 28, 22
-WHOLE = np.uint64(1 << MIX)
+WHOLE, CUT, PART = np.uint64(1 << MIX), np.uint64(TABLE), 63 / 64 * (1 << MIX)
 LOW32 = np.uint64(0xFFFFFFFF)
 ONE, SHIFT, NARROW = np.uint64(1), np.uint64(32), np.uint64(1 << 32)
+_SIGN, _ONE = np.int32(31), np.int32(1)
+#: How much a context has seen, in four steps.
+_STEPS = np.minimum((np.arange(8 * 64) + 3) >> 2, 3)
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids that occur, in order; their frequencies, at least 1 each, which add up to 2^TABLE)."""
-    own, n = np.unique(ids, return_counts=True)
+    n = np.bincount(ids)
+    own = np.flatnonzero(n)
+    n = n[own]
     if not len(own):
         return own.astype(np.uint32), n.astype(np.uint32)
     freq = 1 + np.floor(((1 << TABLE) - len(own)) * (n / n.sum())).astype(np.int64)
@@ -57,69 +65,105 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The models of many blocks, one a lane. Ids are places in the table of the file's ids."""
+    """The models of many blocks, one a lane. Ids are places in the table of the file's ids. Masks are -1 or 0: a sign, shifted to all bits."""
 
     def __init__(self, lanes: int, freq: np.ndarray):
         self.upto = np.r_[0, np.cumsum(freq.astype(np.uint64))].astype(np.uint64)
-        self.share = freq / float(1 << TABLE)
-        # one row for each id that a context keeps: sums over them are then sums of rows
-        self.ids = [np.full((k, lanes << bits), NOBODY, np.uint32) for bits, k in CONTEXTS]
-        self.counts = [np.zeros((k, lanes << bits), np.int16) for bits, k in CONTEXTS]
-        self.base = [np.arange(lanes) << bits for bits, _ in CONTEXTS]
+        self.share = freq * (PART / (1 << TABLE))
+        # ids that nobody has, each once in its context
+        nobody = ID - np.arange(WIDTH, dtype=np.int32)
+        # words of two ids: one for each context of order 2, then two for each of order 1
+        words = nobody[:6].view(np.uint64)
+        self.words = np.concatenate([np.full(lanes << CONTEXTS[0][0], words[0]), np.tile(words[1:], lanes << CONTEXTS[1][0])])
+        self.base2 = np.arange(lanes) << CONTEXTS[0][0]
+        self.base1 = (lanes << CONTEXTS[0][0]) + (np.arange(lanes) << CONTEXTS[1][0] + 1)
+        # the ids of each lane's contexts at this time, a row for each place; those of the latest ids stay here
+        self.all_kept = np.repeat(nobody[:, None], lanes, 1)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        # weights[lane, how much order 2 and order 1 have seen, distribution]: order 2, 1, latest, table
+        # weights[distribution, lane and how much order 2 and order 1 have seen]: order 2, 1, latest, table
         start = np.array([[(0.0, 0.15, 0.35, 0.6)[a], (0.0, 0.1, 0.25, 0.4)[b] * (0.6, 0.5, 0.4, 0.3)[a], 0.05] for a in range(4) for b in range(4)])
         start = np.c_[start, 1 - start.sum(1)]
         self.weights = np.ascontiguousarray(np.tile(start, (lanes, 1)).T)
         self.pace = np.full(lanes * 16, 0.2)
         self.lane16 = np.arange(lanes) * 16
-        self.lane = np.arange(lanes)
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, their shares of the mixture, the table's share) for the first n lanes."""
+    def predict(self, n: int) -> None:
+        """For the first n lanes: ids, their shares of the mixture, and rest, the table's share."""
         last, before = self.last[:n], self.before[:n]
-        h2 = ((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - CONTEXTS[0][0])
-        h1 = (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - CONTEXTS[1][0])
-        self.at = (self.base[0][:n] + h2, self.base[1][:n] + h1, self.base[2][:n])
-        self.own = [ids[:, at] for ids, at in zip(self.ids, self.at, strict=True)]
-        self.seen = [c[:, at] for c, at in zip(self.counts, self.at, strict=True)]
-        self.total = [c.sum(0, dtype=np.int64) for c in self.seen]
-        self.set = self.lane16[:n] + np.minimum((self.total[0] + 3) >> 2, 3) * 4 + np.minimum((self.total[1] + 3) >> 2, 3)
-        self.w = w = self.weights[:, self.set]
-        shares, at = np.empty((WIDTH, n), np.uint64), 0
-        for i, (_, k) in enumerate(CONTEXTS):
-            # a whole unit for each count, so that the parts of a distribution can't add up to more than it has
-            unit = (w[i] * (63 / 64 * (1 << MIX))).astype(np.int64) // np.maximum(self.total[i], 1)
-            np.multiply(unit, self.seen[i], out=shares[at : at + k], casting="unsafe")
-            at += k
-        return np.concatenate(self.own), shares, WHOLE - shares.sum(0)
+        self.at = at = np.empty((3, n), np.int64)
+        np.add(self.base2[:n], ((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - CONTEXTS[0][0]), out=at[0])
+        np.add(self.base1[:n], (last * np.uint32(0x9E3779B1)) >> np.uint32(32 - CONTEXTS[1][0]) << np.uint32(1), out=at[1])
+        np.add(at[1], 1, out=at[2])
+        self.kept = kept = self.all_kept[:, :n]
+        kept[:6].reshape(3, 2, n)[...] = self.words.take(at).view(np.int32).reshape(3, n, 2).transpose(0, 2, 1)
+        self.ids, seen = kept & ID, kept >> np.int32(ID_BITS)
+        total = np.empty((3, n), np.int32)
+        for i, rows in enumerate(ROWS):
+            np.add.reduce(seen[rows], 0, np.int32, total[i])
+        self.set = _STEPS.take(total[0]) * 4
+        self.set += _STEPS.take(total[1])
+        self.set += self.lane16[:n]
+        self.w = self.weights.take(self.set, 1)
+        # a whole unit for each count, so that the parts of a distribution can't add up to more than it has
+        unit = (self.w[:3] * PART / np.maximum(total, 1)).astype(np.int32)
+        self.shares = seen
+        for i, rows in enumerate(ROWS):
+            seen[rows] *= unit[i]
+        total *= unit
+        self.rest = WHOLE - (total[0] + total[1] + total[2]).astype(np.uint64)
+
+    def interval(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, width) of an id for each lane."""
+        apart = self.ids - token
+        below = apart >> _SIGN
+        apart -= _ONE
+        apart >>= _SIGN
+        apart ^= below
+        self.hit = apart
+        below &= self.shares
+        own = apart & self.shares
+        self.gave = np.empty((3, len(token)), np.int32)
+        for i, rows in enumerate(ROWS):
+            np.add.reduce(own[rows], 0, np.int32, self.gave[i])
+        begin = (self.rest * self.upto[token]) >> CUT
+        width = ((self.rest * self.upto[token + 1]) >> CUT) - begin
+        width += (self.gave[0] + self.gave[1] + self.gave[2]).astype(np.uint64)
+        begin += np.add.reduce(below, 0, np.int32).astype(np.uint64)
+        return begin, width
 
     def update(self, n: int, token: np.ndarray) -> None:
-        row, gave = self.lane[:n], np.empty((4, n))
-        gave[3] = self.w[3] * self.share[token]
-        for i in range(3):
-            ids, count = self.own[i], self.seen[i]
-            hit = ids == token
-            gave[i] = self.w[i] * ((count * hit).sum(0) / np.maximum(self.total[i], 1))
-            miss = ~hit.any(0)
-            least = count.argmin(0)
-            low = count[least, row]
-            count += hit * np.int16(GAIN)
-            free = miss & (low <= 1)
-            count[least, row] = np.where(free, GAIN, count[least, row] - miss)
-            ids[least, row] = np.where(free, token, ids[least, row])
-            high = count.max(0) > MOST
-            if high.any():
-                count[:, high] >>= 1
-            self.ids[i][:, self.at[i]] = ids
-            self.counts[i][:, self.at[i]] = count
-        pace = self.pace[self.set]
+        """After interval() of the same ids."""
+        fresh = token + np.int32(GAIN) * UNIT
+        for rows in ROWS:
+            kept, hit = self.kept[rows], self.hit[rows]
+            # Where no id is the token, the least loses a count; one that has none to lose gives way to the token.
+            least = np.minimum.reduce(kept, 0)
+            change = np.where(least < GAIN * UNIT, fresh - least, -UNIT)
+            change &= ~np.bitwise_or.reduce(hit, 0)
+            place = kept ^ least
+            place -= _ONE
+            place >>= _SIGN
+            place &= change
+            hit &= np.int32(GAIN) * UNIT
+            place += hit
+            kept += place
+            high = np.flatnonzero(np.maximum.reduce(kept, 0) >= (MOST + 1) * UNIT)
+            if len(high):
+                some = kept[:, high]
+                kept[:, high] = (some >> np.int32(ID_BITS + 1) << np.int32(ID_BITS)) | (some & ID)
+        self.words[self.at] = np.ascontiguousarray(self.kept[:6].reshape(3, 2, n).transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+        w, gave = self.w, np.empty((4, n))
+        gave[:3] = self.gave
+        np.multiply(w[3], self.share.take(token), out=gave[3])
         gave /= gave[0] + gave[1] + (gave[2] + gave[3])
-        w = self.w
-        w += pace * (gave - w)
+        pace = self.pace.take(self.set)
+        gave -= w
+        gave *= pace
+        w += gave
         np.maximum(w, 1e-4, out=w)
         w /= w[0] + w[1] + (w[2] + w[3])
-        self.weights[:, self.set] = w
+        for row, values in zip(self.weights, w, strict=True):
+            row[self.set] = values
         self.pace[self.set] = np.maximum(pace * 0.9, 0.02)
         self.before[:n] = self.last[:n]
         self.last[:n] = token
@@ -139,7 +183,7 @@ def _narrowed(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
 def encode_blocks(blocks: list[np.ndarray], freq: np.ndarray) -> list[np.ndarray]:
     """32-bit words of each block of places in the table. Blocks are of one length, but for the last, which may be shorter; none is empty."""
     lanes, longest = len(blocks), len(blocks[0])
-    ids = np.zeros((longest, lanes), np.uint32)
+    ids = np.zeros((longest, lanes), np.int32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     short = len(blocks[-1])
@@ -157,14 +201,11 @@ def encode_blocks(blocks: list[np.ndarray], freq: np.ndarray) -> list[np.ndarray
             low[at] <<= SHIFT
             wide[at] <<= SHIFT
 
-    table, upto = np.uint64(TABLE), model.upto
     for t in range(longest):
         n = lanes if t < short else lanes - 1
         token = ids[t, :n]
-        own, shares, rest = model.predict(n)
-        begin = (rest * upto[token]) >> table
-        width = ((rest * upto[token + 1]) >> table) - begin + (shares * (own == token)).sum(0)
-        begin += (shares * (own < token)).sum(0)
+        model.predict(n)
+        begin, width = model.interval(token)
         l, w = low[:n], wide[:n]
         unit = w >> np.uint64(MIX)
         l += unit * begin
@@ -185,24 +226,30 @@ def decode_blocks(words: list[np.ndarray], lengths: list[int], freq: np.ndarray)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
     code, taken = table[:, 0] << SHIFT | table[:, 1], np.full(lanes, 2, np.int64)
     limit = table.shape[1] - 1
-    ids = np.zeros((longest, lanes), np.uint32)
-    cut, upto = np.uint64(TABLE), model.upto
-    steps = [1 << b for b in reversed(range(max(len(freq) - 1, 0).bit_length()))]
+    ids = np.zeros((longest, lanes), np.int32)
+    place = np.repeat(np.arange(len(freq), dtype=np.int32), freq)  # in the table, for each unit of it
+    upto, end, none = model.upto, np.int32(len(freq)), np.uint64((1 << TABLE) - 1)
     for t in range(longest):
         n = lanes if t < short else lanes - 1
-        own, shares, rest = model.predict(n)
+        model.predict(n)
         l, w, c = low[:n], wide[:n], code[:n]
         unit = w >> np.uint64(MIX)
         point = np.minimum((c - l) // unit, WHOLE - ONE)
-        # The last place whose interval begins at or before the point.
-        token = np.zeros(n, np.uint32)
-        for step in steps:
-            tried = np.minimum(token + np.uint32(step), np.uint32(len(freq) - 1))
-            begin = ((rest * upto[tried]) >> cut) + (shares * (own < tried)).sum(0)
-            token = np.where(begin <= point, tried, token)
-        begin = (rest * upto[token]) >> cut
-        width = ((rest * upto[token + 1]) >> cut) - begin + (shares * (own == token)).sum(0)
-        begin += (shares * (own < token)).sum(0)
+        # The kept ids in order, each with what kept ids have up to it and where it begins; row 0 stands before all.
+        keyed = (np.minimum(model.ids, end).astype(np.uint64) << np.uint64(MIX)) | model.shares.astype(np.uint64)
+        keyed.sort(0)
+        name, sums = np.full((WIDTH + 1, n), -1, np.int64), np.zeros((WIDTH + 1, n), np.uint64)
+        np.right_shift(keyed, np.uint64(MIX), out=name[1:], casting="unsafe")
+        keyed &= WHOLE - ONE
+        np.add.accumulate(keyed, 0, out=sums[1:])
+        begin = ((model.rest * upto.take(name[1:])) >> CUT) + sums[:-1]
+        last = (begin <= point).sum(0) * n + np.arange(n)
+        before, kept = sums.take(last), name.take(last)
+        # The point is in the last kept id that begins at or before it, or else in the table after that id.
+        inside = point < ((model.rest * upto.take(np.minimum(kept + 1, end))) >> CUT) + before
+        units = (((point - before + ONE) << CUT) - ONE) // model.rest
+        token = np.where(inside, kept, place.take(np.minimum(units, none).astype(np.int64))).astype(np.int32)
+        begin, width = model.interval(token)
         l += unit * begin
         np.multiply(unit, width, out=w)
         at = _narrowed(l, w)
@@ -218,8 +265,10 @@ def decode_blocks(words: list[np.ndarray], lengths: list[int], freq: np.ndarray)
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, size: int) -> bytes:
     """A file of the ids of documents; lengths add up to the number of ids, all below size."""
+    if size > ID - WIDTH:
+        raise ValueError(f"more than {ID - WIDTH} ids")
     own, freq = frequencies(ids)
-    places = np.searchsorted(own, ids).astype(np.uint32)
+    places = (np.cumsum(np.bincount(ids) > 0, dtype=np.int32) - _ONE)[ids]
     blocks = [places[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
     coded: list[np.ndarray] = []
     for at in range(0, len(blocks), LANES):
@@ -265,13 +314,17 @@ def read_file(data: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
 
 class Tokens:
     """Ids (uint32 bytes) of the stretches between ASCII white space, which the tokenizer never joins. Two generations of at most `limit` stretches are kept: what is met again moves to
-    the young one, and when that is full the old one is forgotten."""
+    the young one, and when that is full the old one is forgotten. New ones are encoded SIDE by side, with a stretch between them that has one id of its own."""
+
+    SIDE, BETWEEN = 64, "\x01"
 
     def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -290,11 +343,26 @@ class Tokens:
                     self.young[x] = found
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.young.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+            self.young.update(zip(part, self.ids_of([x.decode() for x in part]), strict=True))
         return [b"".join(map(self.young.__getitem__, p)) for p in parts]
 
 
+    def ids_of(self, stretches: list[str]) -> list[bytes]:
+        """Those with BETWEEN in them, and runs that come apart into another number of stretches, are encoded one by one."""
+        runs = [stretches[at : at + self.SIDE] for at in range(0, len(stretches), self.SIDE)]
+        joined = [f" {self.BETWEEN} ".join(run) for run in runs]
+        out: list[bytes] = []
+        for run, text, e in zip(runs, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between).tolist() if self.between is not None else []
+            if len(ends) == len(run) - 1 == text.count(self.BETWEEN):
+                data = ids.tobytes()
+                out += [data[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)]
+            else:
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+        return out
+
+
 @lru_cache(maxsize=1)
 def tokens(path: str) -> Tokens:
     return Tokens(path)
