@@ -51,14 +51,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, as a digest, and that of the bytes they decode to. Null counts as empty; repeated rows give equal rows."""
     tune(spark)
-    ids = docs.select("doc_id", "source", bpe.encode(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
-    both = ids.withColumn("decoded", bpe.decode(F.col("ids"), RANKS, public_tokenizers.PATTERN))
+    both = docs.select("doc_id", "source", bpe.round_trip(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("_both"))
     return both.select(
         "doc_id",
         "source",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.floor(F.octet_length("_both.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("_both.ids", 256).alias("ids_sha256"),
+        F.sha2("_both.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -1,5 +1,7 @@
+import hashlib
+
 import corpus_pipeline
-from quillgraph.llm import quality, templates
+from quillgraph.llm import bpe, quality, templates
 from quillgraph.llm.common import StableHashes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,3 +46,17 @@ def test_stages_on_nulls_repeats_and_no_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1  # texts are judged once
+
+
+def test_tokenize_stage_has_one_worker_a_task(spark):
+    texts = ["Plain words, twice: plain words.", None, "", "Plain words, twice: plain words.", "\u00e9\u4e16\U0001f600 \n\t x" * 500]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.tokenize(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # a second node is a second worker with a codec of its own
+    own = bpe.codec(corpus_pipeline.RANKS, corpus_pipeline.public_tokenizers.PATTERN)
+    want = []
+    for i, t in enumerate(texts):
+        ids, raw = own.encode(t or ""), (t or "").encode()
+        want.append((i, "a", len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
+    assert sorted(map(tuple, out.collect())) == want
