@@ -461,8 +461,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     discard(forest)
     discard(links)
 
-    with_class = known.join(classes.select("set_key", "node"), "set_key", "left")
-    return with_class.join(labels, "node", "left").select(
+    with_class = known.join(classes.select("set_key", "node").hint("merge"), "set_key", "left")
+    return with_class.join(labels.hint("merge"), "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),

@@ -156,7 +156,8 @@ def drop_recurring_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:  #
     has_token = lambda x: x.rlike(r"[^ \t\x0b\x0c\r]")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     left = F.filter(F.transform(stay, lambda i: F.get(F.col("lines"), i)), has_token)
-    return split.join(drops, (F.col("row_id") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
+    # The lists of lines are packed so well in files that Spark would take them for small.
+    return split.join(drops.hint("merge"), (F.col("row_id") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
         *[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         F.array_join(F.when(F.col("drops").isNull(), F.col("lines")).otherwise(left), "\n").alias("text"),
         F.coalesce(F.size(F.filter("lines", has_token)), F.lit(0)).cast("long").alias("n_lines"),

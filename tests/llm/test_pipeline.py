@@ -1,7 +1,9 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillgraph.llm import bpe, quality, templates
+from quillgraph.llm import bpe, common, neardup, quality, templates
 from quillgraph.llm.common import StableHashes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,3 +62,24 @@ def test_tokenize_stage_has_one_worker_a_task(spark):
         ids, raw = own.encode(t or ""), (t or "").encode()
         want.append((i, "a", len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_sizes_guessed_from_files_broadcast_nothing(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(threshold)
+    last_plan = lambda: spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+    try:
+        spark.conf.set(threshold, "200000")
+        few = common.written(spark.range(1000).withColumn("n", F.lit(100)), "few")
+        exploded = few.select("id", F.explode(F.sequence(F.lit(1), "n")).alias("key"))  # some kB in the file, 100,000 rows here
+        counts = spark.range(40_000).select((F.col("id") % 200 + 1).cast("int").alias("key"), (F.col("id") % 97).alias("x")).distinct()
+        joined = common.written(exploded.join(counts, "key").groupBy("key").count(), "joined")
+        assert "BroadcastExchange" not in last_plan() and joined.count() == 100
+        small = common.written(exploded.join(spark.range(5).select(F.col("id").cast("int").alias("key")).distinct(), "key"), "small")
+        assert "BroadcastExchange" in last_plan() and small.count() == 4000  # as measured
+        assert spark.conf.get(threshold) == "200000"
+        docs = spark.createDataFrame([(1, "one line\ntwo lines"), (2, "one line")], "doc_id long, text string")
+        for out in (templates.drop_recurring_lines(docs), neardup.near_duplicates(docs)):
+            assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, was)
