@@ -44,6 +44,28 @@ def test_query(social, text, want):
     assert rows(social.query(text)) == want
 
 
+COUNTED = [
+    # two and one work at 4 and 5, so 2 * 2 and 1 * 1 pairs
+    ("MATCH (a:Person)-[:WORKS_AT]->(c:Company), (b:Person)-[:WORKS_AT]->(c) RETURN c.name, count(*) AS n ORDER BY n DESC", [("Acme Corp", 4), ("Globex Inc", 1)]),
+    ("MATCH (a)-[:WORKS_AT]->(c:Company), (b)-[:WORKS_AT]->(c), (c)<-[:WORKS_AT]-(d {city: 'NYC'})-[:KNOWS]->() WITH c, count(*) AS n RETURN c.name, n", [("Acme Corp", 8)]),
+    ("MATCH (a:Person)-[:WORKS_AT]->(c) MATCH (b)-[:WORKS_AT]->(c) WHERE a.age > 30 RETURN a.name, count(*) AS n, count(*) + 1 AS more", [("Vincent", 2, 3)]),
+    ("MATCH (a:Person)-[:WORKS_AT]->(c), (b)-[:KNOWS]->(c) RETURN count(*) AS n", [(0,)]),
+    ("MATCH (a:Person)-[:WORKS_AT]->(c), (b:Person)-[:WORKS_AT]->(c:Nothing) RETURN count(*) AS n", [(0,)]),
+]
+NOT_COUNTED = [
+    ("MATCH (a:Person)-[:WORKS_AT]->(c), (b)-[:WORKS_AT]->(c) WHERE a.age < b.age RETURN count(*) AS n", [(1,)]),
+    ("MATCH (a:Person)-[:WORKS_AT]->(c:Company), (b)-[:WORKS_AT]->(c) RETURN c.name, count(*) AS n, max(b.age) AS m ORDER BY n", [("Globex Inc", 1, 25), ("Acme Corp", 4, 35)]),
+    ("MATCH (a:Person)-[:WORKS_AT]->(c), (a)-[:KNOWS]->(b)-[:WORKS_AT]->(c) RETURN count(*) AS n", [(1,)]),
+]
+
+
+@pytest.mark.parametrize("text,want,fewer", [(*c, True) for c in COUNTED] + [(*c, False) for c in NOT_COUNTED])
+def test_paths_that_are_only_counted_make_no_pairs(social, text, want, fewer):
+    out = social.query(text)
+    assert rows(out) == want
+    assert ("_times" in out._jdf.queryExecution().analyzed().toString()) == fewer
+
+
 def test_algorithms(social):
     assert A.triangle_count(social).first()[0] == 2
     assert {r.node_id: r.component_id for r in A.connected_components(social).collect()} == dict.fromkeys(range(1, 6), 1)
