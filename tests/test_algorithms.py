@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -260,3 +261,17 @@ def test_subscriptions_outlive_a_failing_handler(spark, tmp_path):
 def test_fingerprints_tell_surroundings_apart(spark):
     at = dict(rows(C.fingerprint(plain(spark, [(1, 2), (3, 4), (5, 6), (6, 7)], [8]))))
     assert at[1] == at[3] and at[2] == at[4] and len({at[1], at[2], at[5], at[6], at[7], at[8]}) == 6
+
+
+def test_kcore_in_slices_leaves_no_edges_behind(spark, monkeypatch):
+    monkeypatch.setattr(A, "PEELED_IDS", 2, raising=False)
+    g = plain(spark, [(1, 2), (2, 1), (1, 3), (2, 3), (3, 4), (4, 5), (5, 5)], [9])
+    stored = lambda: {p for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir()}
+    A.Rounds(spark)
+    before = stored()
+    want = dict.fromkeys((1, 2, 3), 2) | {4: 1, 5: 1, 9: 0}
+    assert dict(rows(A.kcore(g))) == want
+    left = stored() - before
+    assert left and all(spark.read.parquet(f"file://{p}").columns[0] == "id" for p in left if any(p.glob("*.parquet")))
+    assert not any(list(p.glob("part-0*[0-9]")) for p in left)  # no checkpoints of rounds
+    assert {n for n, inside in rows(A.kcore(g, 2)) if inside} == {1, 2, 3}
